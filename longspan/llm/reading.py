@@ -190,4 +190,4 @@ def reading_levels(documents: DataFrame, grader: Grader) -> DataFrame:
                 names=["doc_id", "level", "grade", "lang"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, level string, grade double, lang string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, level string, grade double, lang string").distinct()
