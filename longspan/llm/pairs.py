@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longspan.llm.text import HAN, KANA, STOP_SETS, UNIT_RE, script_of, votes
+from longspan.sources.tables import materialise
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 #: Share of the question's words that an answer must copy in order to be the question again.
@@ -265,7 +266,7 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
     row; repeated rows count once (should contents differ under one id, the first type in alphabetical order
     stands). A short answer without an end mark is held against the corpus's own vocabulary of questions and
     truths: it breaks off if its last word is none of theirs but begins one of them. Only such last words
-    are shuffled, each distinct word once.
+    are shuffled, each distinct word once. The verdicts are written once to the shared folder, since both steps read them.
     """
     src = pairs.select("gen_id", "query", "generated", "truth").where("gen_id is not null")
     kind = src.schema["gen_id"].dataType.simpleString()
@@ -277,7 +278,7 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
             keep = pa.array([x is not None for x in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array([x for x in found if x is not None], pa.string())], names=["gen_id", "defect"])
 
-    judged = src.mapInArrow(run, f"gen_id {kind}, defect string")
+    judged = materialise(src.mapInArrow(run, f"gen_id {kind}, defect string"), "judged")
     sure = judged.where(~F.col("defect").startswith("broken:"))
     open_ = judged.where(F.col("defect").startswith("broken:")).select("gen_id", F.substring("defect", 8, 200).alias("word")).distinct()
     said = src.select(F.explode(F.array_append(F.coalesce("truth", F.array()), F.col("query"))).alias("s")).where("s is not null").distinct()
