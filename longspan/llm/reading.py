@@ -160,7 +160,7 @@ def train_grader(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_L
     grade = F.create_map(*[F.lit(v) for i, name in enumerate(LEVELS) for v in (name, float(i))])
     rated = labels.select("doc_id", "rater", "level").distinct().withColumn("g", grade[F.col("level")]).where("g is not null and doc_id is not null")
     rated = rated.groupBy("doc_id").agg(F.avg("g").alias("g")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    docs = documents.select("doc_id", "text", "source").where("text is not null").join(rated, "doc_id")
+    docs = documents.select("doc_id", "text", "source").where("text is not null").join(F.broadcast(rated), "doc_id")  # at most `sample` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
