@@ -54,6 +54,7 @@ _OPEN_TAIL = re.compile(r"(?:[,;:(\[{«„“‘（「『《，、；：\-–—
 _END = re.compile(r"[.!?。！？…।؟!?．｡]")
 _CLOSERS = "\"'”’»)]}」』）】》›*_`"
 _MARKUP = re.compile(r"</?[a-zA-Z|_][^<>]{0,30}>|\[/?(?:INST|SYS|PAD|UNK|CLS|SEP|MASK)\]|<<?/?(?:SYS|sys)>>?|<\|[^|<>]{0,40}\|>")
+_LAST_CLAUSE = re.compile(r"[.!?。！？…:：]+\s*|\n+")
 _LETTER = re.compile(r"[^\W_]")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "„": "“"}
 _LEAD = re.compile(r"^\s*(?:(?:question|answer|respuesta|pregunta|frage|antwort|réponse|问题|答案|回答|q|a)\s*[:：]\s*)+", re.I)
@@ -166,7 +167,7 @@ class Judge:
         whole = [" " + " ".join(u) + " " for t in truths if (u := units(t))]
         open_truth = any("unanswerable" in t for t in whole)
         if joined in whole:
-            return None
+            return "truncated" if text.rstrip()[-1:] in "([{（「『" else None
         answered = any(t in joined for t in whole if len(t) > 5 and "unanswerable" not in t)
         if not answered and self.refuses(text):
             return None if open_truth else "refusal"
@@ -198,7 +199,7 @@ class Judge:
             return "truncated"
         if last in OPEN_WORDS and len(a) > 1 and f" {last} " not in [w[-len(last) - 2 :] for w in whole]:
             return "truncated"
-        if len(a) < 2:
+        if len(a) < 2 or " " + " ".join(units(_LAST_CLAUSE.split(body)[-1])) + " " in whole:
             return None
         sentences = re.search(r"[^\W_][.!?。！？…।؟]", body)
         lines = [x.strip() for x in body.split("\n") if x.strip()]
