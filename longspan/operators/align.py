@@ -37,6 +37,24 @@ class WordTokenizer:
     def decode(self, ids: list[str]) -> str:
         return "".join(ids)
 
+    def counter(self) -> _WordCounter:
+        return _WordCounter()
+
+
+class _WordCounter:
+    """Tokens of a text that grows, without encoding it anew."""
+
+    def __init__(self) -> None:
+        self.runs, self.open, self.blank = 0, False, False
+
+    def add(self, more: str) -> int:
+        if more:
+            words = re.findall(r"[^ \t\n\r\f]+", more)
+            self.runs += len(words) - (self.open and bool(words) and more[0] not in " \t\n\r\f")
+            self.open = more[-1] not in " \t\n\r\f"
+            self.blank = not self.open
+        return self.runs + self.blank
+
 
 class FixedTokenizer:
     """Pieces of a fixed width, which do not end where sentences end: it exercises the self-correction."""
@@ -51,6 +69,17 @@ class FixedTokenizer:
         return "".join(ids)
 
 
+class _EncodingCounter:
+    """For tokenizers that need not be stable under a longer text: the whole text so far is encoded each time."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.text = tokenizer, ""
+
+    def add(self, more: str) -> int:
+        self.text += more
+        return len(self.tokenizer.encode(self.text))
+
+
 class BytePairTokenizer:
     """A public byte-level vocabulary file."""
 
@@ -98,21 +127,24 @@ def settle(seen: Callable[[int], str], target: str, first: int, n_tokens: int, t
 def align(context: str, sentences: list[str | None], tokenizer: Tokenizer, tolerance: int = TOLERANCE) -> dict:
     """Offsets of the ends of all non-empty sentences in the tokens of the context, and how well they decode.
 
-    The text so far is encoded anew for each sentence, since a tokenizer need not be stable under a longer text; with
-    the tokenizer of fixed pieces its length tells. The last offset is the end of the text, and offsets never fall. Without sentences the one offset is 0.
+    A tokenizer with a ``counter`` tells the tokens of the growing text as it goes; for any other the text so far is encoded
+    anew for each sentence, since it need not be stable under a longer text. The last offset is the end of the
+    text, and offsets never fall. Without sentences the one offset is 0.
     """
     ids = tokenizer.encode(context)
     wanted = [s for s in sentences if s]
-    stable = isinstance(tokenizer, FixedTokenizer)
+    counter = tokenizer.counter() if hasattr(tokenizer, "counter") else _EncodingCounter(tokenizer)
     offsets, decoded_all = [0], []
-    so_far = ""
-    for target, nxt in zip(wanted, [*wanted[1:], None], strict=True):
-        so_far += target
-        if nxt is not None:
-            start = len(so_far)
-            stop = context.find(nxt[0], start)
-            so_far += context[start : stop if stop >= 0 else len(context)]
-        first = -(-len(so_far) // tokenizer.width) if stable else len(tokenizer.encode(so_far))
+    at = 0
+    for i, target in enumerate(wanted):
+        more = target
+        at += len(target)
+        if i + 1 < len(wanted):
+            stop = context.find(wanted[i + 1][0], at)
+            between = context[at : stop if stop >= 0 else len(context)]
+            more += between
+            at += len(between)
+        first = counter.add(more)
         last = offsets[-1]
         goal = _clean(target)
         decoded = tokenizer.decode(ids[last:first]).strip(" \n")

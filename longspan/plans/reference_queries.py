@@ -119,13 +119,13 @@ def span_scores(spark: SparkSession, d: str) -> DataFrame:
     """Spans of eight tokens of each vector, scored by their mean reaction."""
     v = vectors(spark, d)
     spans = v.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sent_index")).withColumn("left", F.col("sent_index") * 8).withColumn("right", F.col("sent_index") * 8 + 8)
-    return retrieve.score_slices(spans, v, ["vec_id"], "mean").withColumn("score", F.round("score", 6))
+    return retrieve.score_slices(spans, v, ["vec_id"], "mean")
 
 
 def reaction_rank_cdf(spark: SparkSession, d: str) -> DataFrame:
     s = span_scores(spark, d).withColumn("ntokens", F.col("right") - F.col("left"))
     ranked = retrieve.rank_and_cut(retrieve.score_distribution(s, ["vec_id"]), ["vec_id"], 1_000_000)
-    return ranked.select("vec_id", "sent_index", "rank", "score", r6("mean"), r6("std"), F.round("cdf", 5).alias("cdf"))
+    return ranked.select("vec_id", "sent_index", "rank", r6("score"), r6("mean"), r6("std"), F.round("cdf", 5).alias("cdf"))
 
 
 def group_gmean(spark: SparkSession, d: str) -> DataFrame:
@@ -274,17 +274,17 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alignment_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.mean_by(reports(spark, d), ["model_name", "ds_name"], METRICS, 4)
+    return report.mean_by(reports(spark, d), ["model_name", "ds_name"], METRICS, 10)
 
 
 def alignment_pivot(spark: SparkSession, d: str) -> DataFrame:
-    means = report.mean_by(reports(spark, d), ["model_name", "ds_name"], ["success_rate"], 4)
+    means = report.mean_by(reports(spark, d), ["model_name", "ds_name"], ["success_rate"], 10)
     out = report.unique_pivot(means, ["model_name"], "ds_name", DATASETS, "success_rate")
     return out.select("model_name", *[F.col(c).alias(f"ds_{c}") for c in DATASETS])
 
 
 def metric_melt_pivot(spark: SparkSession, d: str) -> DataFrame:
-    means = report.mean_by(reports(spark, d), ["model_name", "ds_name"], METRICS[1:], 4)
+    means = report.mean_by(reports(spark, d), ["model_name", "ds_name"], METRICS[1:], 10)
     out = report.unique_pivot(report.melt(means, ["model_name", "ds_name"], METRICS[1:]), ["model_name", "metric"], "ds_name", DATASETS, "value")
     return out.select("model_name", "metric", *[F.col(c).alias(f"ds_{c}") for c in DATASETS])
 
@@ -437,7 +437,7 @@ def _cells(value: str, digits: str = "6") -> str:
     return ", ".join(f"round(avg(CASE WHEN ds_name = '{c}' THEN {value} END), {digits}) AS ds_{c}" for c in DATASETS)
 
 
-_MEANS = "m AS (SELECT model_name, ds_name, round_even(avg(success_rate), 4) AS success_rate, round_even(avg(mean_dist), 4) AS mean_dist, round_even(avg(non_zero_mean_dist), 4) AS non_zero_mean_dist FROM (SELECT DISTINCT ds_name, q_index, model_name, git_hash, success_rate, mean_dist, non_zero_mean_dist FROM alignments) GROUP BY ALL)"
+_MEANS = "m AS (SELECT model_name, ds_name, round_even(avg(success_rate), 10) AS success_rate, round_even(avg(mean_dist), 10) AS mean_dist, round_even(avg(non_zero_mean_dist), 10) AS non_zero_mean_dist FROM (SELECT DISTINCT ds_name, q_index, model_name, git_hash, success_rate, mean_dist, non_zero_mean_dist FROM alignments) GROUP BY ALL)"
 _PROMPT = "SELECT DISTINCT ds_name, q_index, 'Text: ' || context || chr(10) || chr(10) || 'Question: ' || coalesce(input, '') || chr(10) || 'Answer:' AS prompt FROM corpus WHERE context IS NOT NULL"
 _ERF = "(1 - (0.254829592 * t + -0.284496736 * t * t + 1.421413741 * t * t * t + -1.453152027 * t * t * t * t + 1.061405429 * t * t * t * t * t) * exp(-z * z))"
 
@@ -460,10 +460,10 @@ ORACLE_SQL: dict[str, str] = {
     "offset_checks": "SELECT DISTINCT ds_name, q_index, model_name, len(sentence_quant_indices) <> len(list_distinct(sentence_quant_indices)) AS has_duplicates, sentence_quant_indices = list_sort(sentence_quant_indices) AS is_sorted, len(sentence_quant_indices) = n_sentence + 1 AS size_fits FROM alignments WHERE sentence_quant_indices IS NOT NULL",
     "reaction_vector": f"WITH {_VECTORS} SELECT vec_id, CAST(unnest(range(len(r))) AS INTEGER) AS tok_pos, round(unnest(r), 6) AS reaction FROM v",
     "reaction_scores": f"WITH {_VECTORS} SELECT vec_id, round(CASE WHEN list_min(r) <= 0 THEN 0.0 ELSE exp(list_avg(list_transform(list_filter(r, lambda x: x > 0), lambda x: ln(x)))) END, 6) AS gmean, round(list_avg(r), 6) AS mean, round(list_max(r), 6) AS max, round(list_min(r), 6) AS min FROM v",
-    "reaction_rank_cdf": f"""WITH {_VECTORS}, k AS (SELECT vec_id, unnest(range(8)) AS i, r FROM v), s AS (SELECT vec_id, CAST(i AS INTEGER) AS sent_index, round(list_avg(list_slice(r, i * 8 + 1, i * 8 + 8)), 6) AS score FROM k),
+    "reaction_rank_cdf": f"""WITH {_VECTORS}, k AS (SELECT vec_id, unnest(range(8)) AS i, r FROM v), s AS (SELECT vec_id, CAST(i AS INTEGER) AS sent_index, list_avg(list_slice(r, i * 8 + 1, i * 8 + 8)) AS score FROM k),
         d AS (SELECT *, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS std, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, sent_index) - 1 AS rank FROM s WINDOW w AS (PARTITION BY vec_id)),
         h AS (SELECT *, (score - mean) / (std * sqrt(2.0)) AS z, 1 / (1 + 0.3275911 * abs((score - mean) / (std * sqrt(2.0)))) AS t FROM d)
-        SELECT vec_id, sent_index, CAST(rank AS INTEGER) AS rank, score, round(mean, 6) AS mean, round(std, 6) AS std, round((1 + sign(z) * {_ERF}) / 2, 5) AS cdf FROM h""",
+        SELECT vec_id, sent_index, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, round(mean, 6) AS mean, round(std, 6) AS std, round((1 + sign(z) * {_ERF}) / 2, 5) AS cdf FROM h""",
     "group_gmean": "SELECT ds_name, round(CASE WHEN min(elapsed_time) <= 0 THEN 0.0 ELSE exp(avg(ln(CASE WHEN elapsed_time > 0 THEN elapsed_time END))) END, 6) AS gmean FROM generations WHERE elapsed_time IS NOT NULL GROUP BY ds_name",
     "retrieve_ratio_budget": f'WITH {_SPANS} SELECT ds_name, q_index, sent_index, CAST(l AS INTEGER) AS "left", CAST(l + ntokens AS INTEGER) AS "right", score, CAST(rank AS INTEGER) AS rank, CAST(cum AS BIGINT) AS cum_tokens, picked FROM cut',
     "retrieve_max_budget": f"WITH {_SPANS} SELECT ds_name, q_index, sent_index, CAST(rank AS INTEGER) AS rank, CAST(cum AS BIGINT) AS cum_tokens, cum < {BUDGET} AS picked FROM cut",
@@ -477,7 +477,7 @@ ORACLE_SQL: dict[str, str] = {
     "prompt_fill": _PROMPT,
     "chat_wrap": f"SELECT ds_name, q_index, '[INST] ' || prompt || ' [/INST]' AS prompt FROM ({_PROMPT})",
     "deferred_requests": f"SELECT p.ds_name, q_index, CAST(length(prompt) AS INTEGER) AS n_chars, -1 AS generated_ntokens, '' AS purely_generated_str, 0 AS purely_generated_ntokens, max_gen_len FROM ({_PROMPT}) p LEFT JOIN datasets USING (ds_name)",
-    "normalize_answer": f"SELECT DISTINCT gen_id, list_aggregate({_norm('generated')}, 'string_agg', ' ') AS normalized FROM generations",
+    "normalize_answer": f"SELECT DISTINCT gen_id, coalesce(list_aggregate({_norm('generated')}, 'string_agg', ' '), '') AS normalized FROM generations",
     "qa_f1": f"WITH {_PAIRS} SELECT gen_id, CAST(i AS INTEGER) AS truth_index, round(f1, 6) AS f1 FROM f",
     "qa_f1_multi_truth": f"WITH {_PAIRS} SELECT gen_id, round(score, 6) AS score FROM s",
     "best_of_generations": f"WITH {_PAIRS} SELECT ds_name, q_index, model_name, round(max(score), 6) AS score, count(*) AS n_generations FROM s GROUP BY ALL",
