@@ -7,7 +7,7 @@ DAG = (
     "h2indices map<string,array<struct<lr_index:array<int>,hierarchy_index:int,passage_index:int,sent_index:int>>>, p2c_edge map<string,array<struct<lr_index:array<int>,hierarchy_index:int,passage_index:int,sent_index:int>>>"
 )
 ROOT, LEAF, GONE = ([0, 5], -1, 0, 0), ([0, 2], 0, 0, 0), ([2, 5], 0, 0, 1)
-PRINTED = "[SentenceTokenSequenceIndex]((0, 5), -1, 0, 0)"
+PRINTED = "[Index]((0, 5), -1, 0, 0)"
 
 
 def record(i=1, chunks=None, h2=None, p2c=None):
