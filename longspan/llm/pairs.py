@@ -168,16 +168,17 @@ class Judge:
         open_truth = any("unanswerable" in t for t in whole)
         if joined in whole:
             return "truncated" if text.rstrip()[-1:] in "([{（「『" else None
-        answered = any(t in joined for t in whole if len(t) > 5 and "unanswerable" not in t)
+        answered = any(t in joined for t in whole if len(t) > 5)
         if not answered and self.refuses(text):
-            return None if open_truth else "refusal"
+            # with no truth recorded, the label "unanswerable" may well be the right answer
+            return None if open_truth or (not truths and "unanswerable" in a) else "refusal"
         body = text.strip()
         repeats_truth = answered or any(t in joined for t in whole)
         if not repeats_truth and cut_truth(body, truths):
             return "truncated"
         if not repeats_truth and query:
             ql, al = self.question(query)[2], self_language(text)
-            phrase = len(a) <= 4 and not _END.search(body) and ql in STOP_SETS and al in STOP_SETS  # a title or name, not yet an answer in that language
+            phrase = len(a) <= 4 and ql in STOP_SETS and al in STOP_SETS  # a title or name, not yet an answer in that language
             if ql and al and ql != al and not phrase and wholly_other(text, ql, al):
                 return "other_language"
         return self.breaks_off(body, a, truths, whole)
@@ -210,6 +211,8 @@ class Judge:
                 return None
         if sentences or opened:
             return "truncated"
+        if a.count(last) == 1 and any(w.startswith(last) and a.count(w) > 1 for w in set(a[:-1])):
+            return "truncated"
         return None if re.match(f"[{HAN}{KANA}]", last) else f"broken:{last}"
 
 
