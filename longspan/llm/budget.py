@@ -88,6 +88,7 @@ def usable_counts(corpus: DataFrame, token_counts: DataFrame, models: DataFrame)
     counts = token_counts.where("ntokens > 0").select(
         F.lower(F.regexp_replace("ds_name", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("ds"), F.col("q_index").alias("q"), F.col("model_name").alias("m"), "ntokens", "loaded_at"
     )
+    counts = counts.groupBy("ds", "q", "m", "ntokens").agg(F.max("loaded_at").alias("loaded_at"))  # a key counted again and again is one row before the join
     joined = wanted.join(counts, (wanted.ds == counts.ds) & (wanted.q_index == counts.q) & (wanted.model_name == counts.m) & (counts.ntokens <= wanted.most), "left")
     last = F.max(F.struct("loaded_at", "ntokens"))
     return joined.groupBy("ds_name", "q_index", "model_name").agg(last["ntokens"].alias("ntokens"))
