@@ -95,35 +95,37 @@ def infer_schema(texts: DataFrame, column: str) -> T.DataType:
 # ---- generic flattening -----------------------------------------------------------------------------------
 
 
-def flatten_tables(df: DataFrame, key: list[str], column: str, prefix: str | None = None) -> dict[str, DataFrame]:
+def flatten_tables(df: DataFrame, key: list[str], column: str, prefix: str | None = None, carry: bool = False) -> dict[str, DataFrame]:
     """Tables of one nested column: name of the path -> table.
 
     Each table has the record's ``key``, ``parent_id`` (the surrogate key of the row it hangs under), ``id`` (its own:
-    the parent's with the ordinal behind it), ``ordinal`` (0-based place in its array; places in a map follow its keys in order), ``map_key``
-    for entries of a map, and the scalar fields, those of inner structs joined with ``_``. An array or map
-    inside makes a table of its own. Null and empty arrays make no rows; null elements keep theirs, with null fields. Fields that would clash
-    with a key or bookkeeping column get a ``_`` behind. Narrow throughout: each record is exploded where it lies.
+    the parent's with the ordinal behind it), ``ordinal`` (0-based place in its array; places in a map follow its keys
+    in order), ``map_key`` for entries of a map, and the scalar fields, those of inner structs joined with ``_``. An array
+    or map inside makes a table of its own; with ``carry`` its rows also have their parent's scalar fields and map key, with
+    ``up_`` before them, which saves the join back. Null and empty arrays make no rows; null elements keep theirs, with null
+    fields. Fields that would clash with a key or bookkeeping column get a ``_`` behind. Narrow throughout: each
+    record is exploded where it lies.
     """
     name = prefix or column
     base = df.select(*key, F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("parent_id"), F.col(column).alias("_v"))
-    return dict(_flatten(base, key, name, df.schema[column].dataType))
+    return dict(_flatten(base, key, name, df.schema[column].dataType, carry, []))
 
 
-def _flatten(base: DataFrame, key: list[str], name: str, kind: T.DataType) -> Iterator[tuple[str, DataFrame]]:
+def _flatten(base: DataFrame, key: list[str], name: str, kind: T.DataType, carry: bool, up: list[str]) -> Iterator[tuple[str, DataFrame]]:
     mapped = isinstance(kind, T.MapType)
     if mapped:
         entries = F.array_sort(F.map_keys("_v"))
-        one = base.withColumn("_m", F.col("_v")).select(*key, "parent_id", "_m", F.posexplode(entries).alias("ordinal", "map_key"))
-        one = one.select(*key, "parent_id", "ordinal", "map_key", F.col("_m")[F.col("map_key")].alias("_v"))
+        one = base.withColumn("_m", F.col("_v")).select(*key, *up, "parent_id", "_m", F.posexplode(entries).alias("ordinal", "map_key"))
+        one = one.select(*key, *up, "parent_id", "ordinal", "map_key", F.col("_m")[F.col("map_key")].alias("_v"))
         inner = kind.valueType
     elif isinstance(kind, T.ArrayType):
-        one = base.select(*key, "parent_id", F.posexplode("_v").alias("ordinal", "_v"))
+        one = base.select(*key, *up, "parent_id", F.posexplode("_v").alias("ordinal", "_v"))
         inner = kind.elementType
     else:
         one, inner = base.withColumn("ordinal", F.lit(0)), kind
     one = one.withColumn("id", F.concat("parent_id", F.lit(f"/{name.rpartition('.')[2]}/"), F.col("ordinal")))
-    keep = [*key, "parent_id", "id", "ordinal", *["map_key"] * mapped]
-    fields: list[Column] = []
+    keep = [*key, *up, "parent_id", "id", "ordinal", *["map_key"] * mapped]
+    fields: list[tuple[str, Column]] = []
     below: list[tuple[str, Column, T.DataType]] = []
 
     def walk(col: Column, t: T.DataType, label: str) -> None:
@@ -134,12 +136,14 @@ def _flatten(base: DataFrame, key: list[str], name: str, kind: T.DataType) -> It
             below.append((label or "item", col, t))
         else:
             label = label or "value"
-            fields.append(col.alias(label + "_" if label in keep else label))
+            fields.append((label + "_" if label in keep else label, col))
 
     walk(F.col("_v"), inner, "")
-    yield name, one.select(*keep, *fields)
+    yield name, one.select(*keep, *[c.alias(n) for n, c in fields])
+    above = [(f"up_{n}", c) for n, c in fields] + [("up_map_key", F.col("map_key"))] * mapped if carry else []
     for label, col, t in below:
-        yield from _flatten(one.select(*key, F.col("id").alias("parent_id"), col.alias("_v")), key, f"{name}.{label}", t)
+        child = one.select(*key, *[c.alias(n) for n, c in above], F.col("id").alias("parent_id"), col.alias("_v"))
+        yield from _flatten(child, key, f"{name}.{label}", t, carry, [n for n, _ in above])
 
 
 # ---- chunk graphs -----------------------------------------------------------------------------------------
@@ -175,7 +179,7 @@ def _path_to(t: T.DataType, field: str, at: tuple[str, ...] = ()) -> list[tuple[
 
 
 def read_exports(exports: DataFrame, column: str = "payload") -> DataFrame:
-    """``(dag_id, chunks, h2indices, p2c)`` of JSON payloads in any of their layouts; invalid JSON makes no row.
+    """``(dag_id, chunks, levels, p2c)`` of JSON payloads in any of their layouts; invalid JSON makes no row.
 
     The merged schema tells where the record lies (payloads may be wrapped); parts whose layouts exclude each
     other are kept as text in it and read by each layout in turn.
@@ -197,49 +201,47 @@ def read_exports(exports: DataFrame, column: str = "payload") -> DataFrame:
         F.transform(F.map_entries(as_map), lambda e: F.struct(_printed_index(e["key"]).alias("parent"), F.transform(e["value"], _index).alias("children")))
     )
     chunks = F.transform(doc["chunks"], lambda c: F.struct(_index(c["index"]).alias("index"), c["sentences"].alias("sentences"), c["target_sentences"].alias("target_sentences")))
-    h2 = F.transform_values(doc["h2indices"], lambda _, v: F.transform(v, _index))
-    return read.select("dag_id", chunks.alias("chunks"), h2.alias("h2indices"), p2c.alias("p2c"))
+    levels = F.transform(F.map_entries(doc["h2indices"]), lambda e: F.struct(e["key"].try_cast("int").alias("level"), F.transform(e["value"], _index).alias("members")))
+    return read.select("dag_id", chunks.alias("chunks"), levels.alias("levels"), p2c.alias("p2c"))
 
 
 def read_dags(dags: DataFrame) -> DataFrame:
-    """The same columns of typed records; repeated rows count once."""
+    """The same columns of typed records."""
     p2c = F.transform(F.map_entries("p2c_edge"), lambda e: F.struct(_printed_index(e["key"]).alias("parent"), e["value"].alias("children")))
-    return dags.select("dag_id", "chunks", "h2indices", p2c.alias("p2c"))
+    levels = F.transform(F.map_entries("h2indices"), lambda e: F.struct(e["key"].try_cast("int").alias("level"), e["value"].alias("members")))
+    return dags.select("dag_id", "chunks", levels.alias("levels"), p2c.alias("p2c"))
 
 
 def dag_tables(records: DataFrame) -> dict[str, DataFrame]:
     """``nodes``, ``sentences``, ``levels`` and ``edges`` of chunk graphs, keyed so that parents still join their children.
 
-    ``node_key`` is ``(dag_id, hierarchy_index, key)``: the key of a root is its ``left:right``, that of a leaf its sent_index. Null
-    elements and indices without the parts of their key make no row; dangling children keep their edge. Repeated rows, children and chunks
-    stand once. Null records, fields and arrays make no rows.
+    A node is told by ``(dag_id, record, hierarchy_index, key)``: ``record`` is the hash of the whole record (rows repeated word for word
+    are one, different records of one dag_id stay apart), the key of a root its ``left:right``, that of a leaf its
+    sent_index. Null elements and indices without the parts of their key make no row; dangling children
+    keep their edge. Repeated children and chunks stand once. Null records, fields and arrays make no rows. One shuffle
+    drops repeated records; the tables are then exploded where the records lie.
     """
     rows = records.select(
         "dag_id",
         F.transform("chunks", lambda c: F.struct(*_flat(c["index"]), c["sentences"].alias("sentences"))).alias("chunks"),
-        F.transform_values("h2indices", lambda _, v: F.transform(v, lambda i: F.struct(*_flat(i)))).alias("h2indices"),
+        F.transform("levels", lambda e: F.struct(e["level"].alias("level"), F.transform(e["members"], lambda i: F.struct(*_flat(i))).alias("members"))).alias("levels"),
         F.transform("p2c", lambda e: F.struct(*_flat(e["parent"], "parent_"), F.transform(e["children"], lambda i: F.struct(*_flat(i, "child_"))).alias("children"))).alias("p2c"),
     )
-    chunks = flatten_tables(rows, ["dag_id"], "chunks")
-    levels = flatten_tables(rows, ["dag_id"], "h2indices")
-    edges = flatten_tables(rows, ["dag_id"], "p2c")
+    rows = rows.where("dag_id is not null").withColumn("record", F.xxhash64("chunks", "levels", "p2c")).groupBy("dag_id", "record").agg(*[F.first(c).alias(c) for c in ("chunks", "levels", "p2c")])
+    key = ["dag_id", "record"]
+    chunks = flatten_tables(rows, key, "chunks", carry=True)
+    levels = flatten_tables(rows, key, "levels", carry=True)
+    edges = flatten_tables(rows, key, "p2c", carry=True)
     nodes = _keyed(chunks["chunks"])
-    sentences = (
-        nodes.select("dag_id", "hierarchy_index", "key", F.col("id").alias("node_id"))
-        .join(chunks["chunks.sentences"].select(F.col("dag_id").alias("d"), F.col("parent_id").alias("node_id"), "ordinal", F.col("value").alias("sentence")), "node_id")
-        .where(F.col("d") == F.col("dag_id"))
-        .select("dag_id", "hierarchy_index", "key", "ordinal", "sentence")
-    )
-    standing = levels["h2indices"].select(F.col("id").alias("level_id"), F.col("map_key").try_cast("int").alias("level"))
-    members = _keyed(levels["h2indices.item"].join(standing, F.col("parent_id") == F.col("level_id")))
-    parents = _keyed(edges["p2c"], "parent_").select(F.col("id").alias("edge_id"), *[c for c in edges["p2c"].columns if c.startswith("parent_") and c != "parent_id"], F.col("key").alias("parent_key"))
-    children = _keyed(edges["p2c.children"], "child_").withColumnRenamed("key", "child_key")
-    links = children.join(parents, F.col("parent_id") == F.col("edge_id"))
+    sentences = _keyed(chunks["chunks.sentences"], "up_").select(*key, F.col("up_hierarchy_index").alias("hierarchy_index"), "key", "ordinal", F.col("value").alias("sentence"))
+    members = _keyed(levels["levels.members"]).select(*key, F.col("up_level").alias("level"), "hierarchy_index", "key")
+    links = _keyed(_keyed(edges["p2c.children"], "child_").withColumnRenamed("key", "child_key"), "up_parent_").withColumnRenamed("key", "parent_key")
+    links = links.withColumnsRenamed({f"up_parent_{c}": f"parent_{c}" for c in ("left", "right", "hierarchy_index")})
     return {
-        "nodes": nodes.select("dag_id", "hierarchy_index", "key", "left", "right", "passage_index", "sent_index").distinct(),
+        "nodes": nodes.select(*key, "hierarchy_index", "key", "left", "right", "passage_index", "sent_index").distinct(),
         "sentences": sentences.distinct(),
-        "levels": members.select("dag_id", "level", "hierarchy_index", "key").distinct(),
-        "edges": links.select("dag_id", "parent_hierarchy_index", "parent_key", "parent_left", "parent_right", "child_hierarchy_index", "child_key", "child_sent_index").distinct(),
+        "levels": members.distinct(),
+        "edges": links.select(*key, "parent_hierarchy_index", "parent_key", "parent_left", "parent_right", "child_hierarchy_index", "child_key", "child_sent_index").distinct(),
     }
 
 
@@ -260,12 +262,13 @@ def _keyed(t: DataFrame, label: str = "") -> DataFrame:
 def root_leaf_links(tables: dict[str, DataFrame]) -> DataFrame:
     """``(dag_id, parent_left, parent_right, child_sent_index)`` of links from a root to a leaf, both of which have a node and stand at their level.
 
-    Three equi-joins on ``(dag_id, key)``, which all tables are shuffled by alike.
+    Equi-joins on the record and the key, which all tables are shuffled by alike.
     """
-    nodes = tables["nodes"].select("dag_id", "hierarchy_index", "key").distinct()
-    placed = tables["levels"].where("level = hierarchy_index").select("dag_id", "hierarchy_index", "key").distinct()
-    whole = nodes.join(placed, ["dag_id", "hierarchy_index", "key"], "left_semi")
-    roots = whole.where(F.col("hierarchy_index") == ROOT).select("dag_id", F.col("key").alias("parent_key"))
-    leaves = whole.where(F.col("hierarchy_index") == LEAF).select("dag_id", F.col("key").alias("child_key"))
+    record = ["dag_id", "record"]
+    nodes = tables["nodes"].select(*record, "hierarchy_index", "key").distinct()
+    placed = tables["levels"].where("level = hierarchy_index").select(*record, "hierarchy_index", "key").distinct()
+    whole = nodes.join(placed, [*record, "hierarchy_index", "key"], "left_semi")
+    roots = whole.where(F.col("hierarchy_index") == ROOT).select(*record, F.col("key").alias("parent_key"))
+    leaves = whole.where(F.col("hierarchy_index") == LEAF).select(*record, F.col("key").alias("child_key"))
     links = tables["edges"].where((F.col("parent_hierarchy_index") == ROOT) & (F.col("child_hierarchy_index") == LEAF))
-    return links.join(roots, ["dag_id", "parent_key"], "left_semi").join(leaves, ["dag_id", "child_key"], "left_semi").select("dag_id", "parent_left", "parent_right", "child_sent_index").distinct()
+    return links.join(roots, [*record, "parent_key"], "left_semi").join(leaves, [*record, "child_key"], "left_semi").select("dag_id", "parent_left", "parent_right", "child_sent_index").distinct()

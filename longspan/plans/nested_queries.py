@@ -20,15 +20,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d)["nodes"]
+    return _tables(spark, d)["nodes"].drop("record").distinct()
 
 
 def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d)["sentences"]
+    return _tables(spark, d)["sentences"].drop("record").distinct()
 
 
 def p3_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark, d)["edges"]
+    return _tables(spark, d)["edges"].drop("record").distinct()
 
 
 def p3_chunk_rows(spark: SparkSession, d: str) -> DataFrame:
