@@ -156,12 +156,17 @@ class Items:
         """Share of the passage in its best one or two stretches in order, and their places in the stream."""
         n = len(self.units[item])
         least = min(LEAST_CHARS if self.chars[item] else LEAST_WORDS, n)
-        runs = sorted({t for t in self.stretches(item, hits, s) if t[1] - t[0] >= least}, key=lambda t: t[0] - t[1])[:64]
+        runs = sorted({t for t in self.stretches(item, hits, s) if t[1] - t[0] >= least}, key=lambda t: (t[0] - t[1], t))
         best, parts = 0, []
-        for i, x in enumerate(runs):
-            if x[1] - x[0] > best:
-                best, parts = x[1] - x[0], [x[2:]]
+        for i, x in enumerate(runs):  # longest first, so a pair that cannot beat the best ends the search
+            long_ = x[1] - x[0]
+            if long_ > best:
+                best, parts = long_, [x[2:]]
+            if 2 * long_ <= best:
+                break
             for y in runs[i + 1 :]:
+                if long_ + y[1] - y[0] <= best:
+                    break
                 p, q = (x, y) if x[0] <= y[0] else (y, x)
                 size = (p[1] - p[0]) + (q[1] - q[0]) - max(0, p[1] - q[0])
                 if p[2] < q[2] and p[3] <= q[2] + 1 and size > best:
