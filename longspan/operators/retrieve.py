@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.stats import aggregate_score, cosine_distance, normal_cdf
+from longspan.sources.tables import materialise
 
 
 def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str = "gmean") -> DataFrame:
@@ -77,45 +84,54 @@ def merge_adjacent(picked: DataFrame, key: list[str], text: str = "sentence", co
     return out.withColumn(text, joined).select(*key, "run", "left", "right", text)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str, block: int = 64) -> DataFrame:
-    """``(query_id, item_id, distance, rank)`` of the ``k`` items of least cosine distance; ties by item id.
+def nearest(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, vector: str, chunk: int = 20_000, block: int = 64) -> DataFrame:
+    """``(query_id, item_id, distance, rank)`` of the ``k`` items of least cosine distance to each query vector; ties by item id.
 
-    The query set is stated and bounded (``block`` of them travel together with each pass over the items); the items are
-    scanned where they lie, each task keeps its own best ``k`` per query, and only those are shuffled.
+    The queries stream through the driver ``chunk`` at a time; each chunk is set against all items where they lie, ``block``
+    queries at once, each task keeping its own best ``k`` per query, and only those are shuffled. With more
+    chunks than one each pass is written to the shared folder. Vectors that are null, of no length or of another length than the
+    queries' match nothing; repeated queries count once. A query id of the same name as the item's gets ``query_`` before it.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    q = [(r[0], r[1]) for r in queries.select(query_id, vector).where(F.col(vector).isNotNull()).distinct().orderBy(query_id).collect()]
-    ids = [x for x, _ in q]
-    mat = np.array([v for _, v in q], dtype=np.float64) if q else np.zeros((0, 1))
-    norms = np.linalg.norm(mat, axis=1)
     kq, ki = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-
-    def run(batches):  # noqa: ANN001, ANN202
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+    named = query_id if query_id != item_id else f"query_{query_id}"
+    source = queries.select(query_id, vector).where(F.col(vector).isNotNull() & (F.size(vector) > 0)).distinct().toLocalIterator()
+    passes: list[DataFrame] = []
+    while part := list(islice(source, chunk)):
+        found = _one_pass(sorted((r[0], r[1]) for r in part), items.select(item_id, vector), k, block)
+        top = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "i"))).where(F.col("rank") <= k)
+        top = top.select(F.col("q").cast(kq).alias(named), F.col("i").cast(ki).alias(item_id), "distance", "rank")
+        passes.append(materialise(top, "nearest") if passes or len(part) == chunk else top)
+    if not passes:
+        return items.sparkSession.createDataFrame([], f"`{named}` {kq}, `{item_id}` {ki}, distance double, rank int")
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _one_pass(queries: list[tuple[int, list[float]]], items: DataFrame, k: int, block: int) -> DataFrame:
+    width = max(len(v) for _, v in queries)
+    queries = [(i, v) for i, v in queries if len(v) == width]
+    ids, mat = [i for i, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = np.linalg.norm(mat, axis=1)
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]
         for b in batches:
-            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None and len(v) == mat.shape[1]]
-            if not rows or not ids:
+            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None and len(v) == width and any(v)]
+            if not rows:
                 continue
             x = np.array([v for _, v in rows], dtype=np.float64)
             xn = np.linalg.norm(x, axis=1)
             for lo in range(0, len(ids), block):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     dist = 1 - (mat[lo : lo + block] @ x.T) / (norms[lo : lo + block, None] * xn[None])
+                cut = np.partition(dist, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
                 for a, row in enumerate(dist):
-                    top = np.argpartition(row, min(k, len(row) - 1))[: k + 8] if len(row) > k + 8 else range(len(row))
-                    cut = sorted(row[j] for j in top)[min(k, len(row)) - 1]
-                    cand = [(float(row[j]), rows[j][0]) for j in np.flatnonzero(row <= cut)]
-                    best[lo + a] = sorted(best[lo + a] + cand)[:k]
+                    near = [(float(row[j]), rows[j][0]) for j in np.flatnonzero(row <= cut[a])]
+                    best[lo + a] = sorted(best[lo + a] + near)[:k]
         out = [(ids[a], i, d) for a, found in enumerate(best) for d, i in found]
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["q", "i", "distance"])
 
-    near = items.select(item_id, vector).mapInArrow(run, "q bigint, i bigint, distance double")
-    w = Window.partitionBy("q").orderBy("distance", "i")
-    top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select(F.col("q").cast(kq).alias(query_id if query_id != item_id else f"query_{query_id}"), F.col("i").cast(ki).alias(item_id), "distance", "rank")
+    return items.mapInArrow(run, "q bigint, i bigint, distance double")
 
 
 def nearest_to_one(items: DataFrame, query: Column, k: int, item_id: str, vector: str) -> DataFrame:

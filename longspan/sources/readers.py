@@ -48,6 +48,26 @@ class RunConfig:
         Path(path).write_text(json.dumps(self.to_dict(), indent=2, sort_keys=True))
 
 
+def git_hash(folder: str = ".") -> str:
+    """Commit that a checkout stands at, read from its files; empty outside of one."""
+    git = Path(folder) / ".git"
+    if not (git / "HEAD").exists():
+        return ""
+    head = (git / "HEAD").read_text().strip()
+    if not head.startswith("ref: "):
+        return head
+    ref = head[5:]
+    if (git / ref).exists():
+        return (git / ref).read_text().strip()
+    packed = (git / "packed-refs").read_text().splitlines() if (git / "packed-refs").exists() else []
+    return next((x.split()[0] for x in packed if x.endswith(" " + ref)), "")
+
+
+def with_run(df: DataFrame, config: RunConfig) -> DataFrame:
+    """Columns that tell the run: model, seed, commit and time."""
+    return df.withColumns({"model_name": F.lit(config.model_name), "seed": F.lit(config.seed), "git_hash": F.lit(config.git_hash), "run_at": F.current_timestamp()})
+
+
 def spark_type(dtype: str) -> str:
     """Spark's name of a numeric type; half types become float."""
     known = {"float16": "float", "bfloat16": "float", "float32": "float", "float64": "double", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint"}

@@ -147,3 +147,13 @@ def test_config(tmp_path):
     assert readers.RunConfig.from_file(str(tmp_path / "c.json")) == c and readers.spark_type("bfloat16") == "float"
     with pytest.raises(ValueError):
         readers.spark_type("complex64")
+    assert readers.git_hash(str(tmp_path)) == ""
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "HEAD").write_text("ref: refs/heads/x")
+    (tmp_path / ".git" / "packed-refs").write_text("# pack\nabc refs/heads/x\n")
+    assert readers.git_hash(str(tmp_path)) == "abc"
+
+
+def test_run_columns(spark):
+    r = readers.with_run(spark.range(1), readers.RunConfig(model_name="m", git_hash="abc")).collect()[0]
+    assert (r.model_name, r.seed, r.git_hash) == ("m", 42, "abc") and r.run_at is not None

@@ -89,11 +89,12 @@ def test_merge_overlap_and_empty(spark):
     assert retrieve.merge_adjacent(df.limit(0), ["k"]).count() == 0
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("chunk", [2, 20_000])
+def test_nearest_against_brute_force(spark, chunk):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(120)] + [(200, None), (201, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {(r.query_vec_id, r["rank"]): r.vec_id for r in retrieve.nearest(df.where("vec_id % 40 = 0"), df, 3, "vec_id", "vec_id", "embedding").collect()}
+    got = {(r.query_vec_id, r["rank"]): r.vec_id for r in retrieve.nearest(df.where("vec_id % 40 = 0"), df, 3, "vec_id", "vec_id", "embedding", chunk).collect()}
 
     def dist(a, b):
         return 1 - sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
