@@ -20,6 +20,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split.oversize_sentences(split.split_items(table(spark, d, "alignments"), table(spark, d, "models")))
 
 
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every context in pieces of at most 256 tokens of the public vocabulary, neighbours sharing 32."""
+    corpus = table(spark, d, "corpus", "ds_name", "q_index", "context").distinct()
+    return split.split_texts(corpus, ["ds_name", "q_index"], "context", 256, 32)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.judge_pairs(table(spark, d, "generations"))
 
@@ -32,14 +38,16 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(table(spark, d, "generations"), "gen_id", "generated").distinct()
 
 
+def counted_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return budget.corpus_token_counts(table(spark, d, "corpus"), table(spark, d, "token_counts"), table(spark, d, "models"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = budget.usable_counts(table(spark, d, "corpus"), table(spark, d, "token_counts"), table(spark, d, "models"))
-    return counts.where("ntokens is null").select("ds_name", "q_index", "model_name")
+    return counted_corpus(spark, d).where("estimated and ntokens > 0").select("ds_name", "q_index", "model_name")
 
 
 def p5_corpus(spark: SparkSession, d: str) -> DataFrame:
-    counts = budget.corpus_token_counts(table(spark, d, "corpus"), table(spark, d, "token_counts"), table(spark, d, "models"))
-    return budget.corpus_budget(counts, table(spark, d, "datasets"))
+    return budget.corpus_budget(counted_corpus(spark, d), table(spark, d, "datasets"))
 
 
 def p5_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +90,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p4_found, p4_shares, p5_found, p5_corpus, p5_documents, p6_found, p7_ids, p8_found, p8_spans, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_texts, p2_found, p4_found, p4_shares, p5_found, p5_corpus, p5_documents, p6_found, p7_ids, p8_found, p8_spans, p9_found, p9_profile)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -22,6 +22,7 @@ from longspan.llm.trees import BoostedTrees
 
 LEVELS = ("easy", "middle", "hard")
 LANGUAGES = ("en", "fr", "de", "es")
+#: Words set off by blanks; a shorter text has no level.
 LEAST_WORDS = 60
 #: Labelled documents that the trees are fitted on at most; which ones is decided by a hash of the id.
 SAMPLE_LABELS = 12_000
@@ -45,7 +46,7 @@ _WIDTHS = (3, 4, 5, 6, 7, 9, 11, 13, 16, 20)
 
 def features(text: str | None) -> tuple[str, list[float]] | None:
     """Language and features, or None for a text in another language or of fewer words."""
-    if not text:
+    if not text or len(text.split()) < LEAST_WORDS:
         return None
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
@@ -53,7 +54,7 @@ def features(text: str | None) -> tuple[str, list[float]] | None:
         text = text.replace("\xad", "")
     sentences = [w for s in _SENTENCE.split(text) if (w := _WORD.findall(s))]
     n = sum(map(len, sentences))
-    if n < LEAST_WORDS:
+    if not n:
         return None
     counts = Counter()
     shared = again = 0

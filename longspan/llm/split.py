@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longspan.llm.encode import TOKENIZERS, Pieces, cut_table, load_ranks, pieces_of
+from longspan.llm.sentences import Model, units
+
 
 
 def clean_bounds(bounds: list[int | None] | None, n_tokens: int | None) -> list[int]:
@@ -87,3 +92,61 @@ def split_items(alignments: DataFrame, models: DataFrame) -> DataFrame:
 def oversize_sentences(pieces: DataFrame) -> DataFrame:
     """``(ds_name, q_index, model_name, sent_index)``: sentences that the split had to cut inside."""
     return pieces.select("ds_name", "q_index", "model_name", F.explode("oversize_sentences").alias("sent_index")).distinct()
+
+
+class TextCutter:
+    """Cuts texts by the tokens of a byte-level vocabulary, at sentence ends where possible."""
+
+    def __init__(self, vocabulary: str, model: Model) -> None:
+        ranks = load_ranks(vocabulary)
+        self.table, self.known, self.model = cut_table(ranks), Pieces(ranks), model
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.sizes[i] = len(token)
+
+    def cut(self, text: str | None, window: int, overlap: int) -> list[tuple[int, int, int, bool, bool]]:
+        """``(start_char, end_char, n_tokens, hard_left, hard_right)``; a text within the window is one piece, a null or empty one none.
+
+        Token ends are prefix sums of the tokens' bytes; a sentence end is the first token end at or behind it.
+        """
+        if not text:
+            return []
+        data = text.encode("utf-8", "replace")
+        ids = np.frombuffer(b"".join(self.known[p] for p in pieces_of(data, self.table)), "<i4")
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        raw = np.frombuffer(data, np.uint8)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)  # bytes that begin a character
+        at = [int(starts[b]) if b < len(starts) else len(data) for _, b in units(text, self.model)]
+        bounds = sorted({0, len(ids), *np.searchsorted(ends, at).tolist()})
+        out = []
+        for left, right, hl, hr in cut_pieces(bounds, window, overlap):
+            a, b = (int(np.searchsorted(starts, ends[x], "right")) - (1 if ends[x] < len(data) else 0) for x in (left, right))
+            out.append((a, b, right - left, hl, hr))
+        return out
+
+
+def split_texts(rows: DataFrame, key: list[str], text_col: str, window: int, overlap: int, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, model: Model | None = None) -> DataFrame:
+    """``key..., piece, start_char, end_char, n_tokens, hard_left, hard_right, text`` of every text, in pieces of at most ``window`` tokens.
+
+    A cut inside a character moves back to its beginning. Null and empty texts have no piece, repeated rows repeat
+    theirs. One narrow stage.
+    """
+    if window <= 0:
+        raise ValueError("window must be positive")
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
+    own = model or Model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = TextCutter(os.path.join(folder, vocabulary), own)
+        for b in batches:
+            texts = b.column(len(key)).to_pylist()
+            found = [(i, k, *p, texts[i][p[0] : p[1]]) for i, t in enumerate(texts) for k, p in enumerate(cutter.cut(t, window, overlap))]
+            cols = list(zip(*found, strict=True)) if found else [[]] * 8
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string())
+            index = pa.array(cols[0], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(j).take(index) for j in range(len(key))], *[pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]],
+                names=[*key, "piece", "start_char", "end_char", "n_tokens", "hard_left", "hard_right", "text"],
+            )
+
+    return rows.select(*key, text_col).mapInArrow(run, f"{kinds}, piece int, start_char int, end_char int, n_tokens int, hard_left boolean, hard_right boolean, text string")

@@ -48,6 +48,31 @@ def test_split_items(spark):
     assert split.split_items(al.limit(0), mo).count() == 0
 
 
+@needs_vocab
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab. é一。😀\n", max_size=60), st.integers(1, 9), st.integers(0, 8))
+def test_text_pieces(text, window, overlap):
+    global _CUT
+    if "_CUT" not in globals():
+        _CUT = split.TextCutter(VOCAB, sentences.Model())
+    got = _CUT.cut(text, window, overlap)
+    if not text:
+        assert got == []
+        return
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(n <= window for *_, n, _, _ in got)
+    assert all(c <= b for (_, b, *_), (c, *_) in zip(got, got[1:]))
+
+
+@needs_vocab
+def test_split_texts(spark):
+    df = spark.createDataFrame([(1, "One two. Three four. Five six."), (2, None), (3, ""), (4, "word " * 30_000)], "id int, context string").selectExpr("*", "'x' as text")
+    got = {}
+    for r in split.split_texts(df, ["id"], "context", 8, 2).collect():
+        got.setdefault(r.id, []).append(r)
+    assert set(got) == {1, 4} and [r.text for r in got[1]][0] == "One two. Three four." and got[4][-1].end_char == 150_000
+    assert split.split_texts(df.limit(0), ["id"], "context", 8, 2).count() == 0
+
+
 # ---- 2 pairs -----------------------------------------------------------------------------------------------
 
 Q = "Who opened the wooden door before noon?"
