@@ -37,13 +37,13 @@ class Settings:
     deferred: bool = False
 
 
-def sentence_spans(corpus: DataFrame) -> DataFrame:
-    """``key, sent_index, sentence, left, right, ntokens``: sentences with their token offsets, a fold inside the row."""
-    rows = corpus.select(*KEY, default_sentences("context").alias("s")).where(F.size("s") > 0)
+def sentence_spans(corpus: DataFrame, *keep: str) -> DataFrame:
+    """``key, keep..., sent_index, sentence, left, right, ntokens``: sentences with their token offsets, a fold inside the row; columns to ``keep`` go along instead of being joined back."""
+    rows = corpus.select(*KEY, *keep, default_sentences("context").alias("s")).where(F.size("s") > 0)
     sized = F.transform("s", lambda x: F.size(tokens(x)))
     lefts = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.aggregate(F.slice(sized, 1, i), F.lit(0), lambda a, b: a + b))
-    one = rows.select(*KEY, F.posexplode(F.arrays_zip(F.col("s").alias("sentence"), sized.alias("ntokens"), lefts.alias("left"))).alias("sent_index", "x"))
-    return one.select(*KEY, "sent_index", F.col("x.sentence").alias("sentence"), F.col("x.left").alias("left"), (F.col("x.left") + F.col("x.ntokens")).alias("right"), F.col("x.ntokens").alias("ntokens"))
+    one = rows.select(*KEY, *keep, F.posexplode(F.arrays_zip(F.col("s").alias("sentence"), sized.alias("ntokens"), lefts.alias("left"))).alias("sent_index", "x"))
+    return one.select(*KEY, *keep, "sent_index", F.col("x.sentence").alias("sentence"), F.col("x.left").alias("left"), (F.col("x.left") + F.col("x.ntokens")).alias("right"), F.col("x.ntokens").alias("ntokens"))
 
 
 def window_tokens(spans: DataFrame, corpus: DataFrame) -> DataFrame:

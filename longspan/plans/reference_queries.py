@@ -139,7 +139,7 @@ def group_gmean(spark: SparkSession, d: str) -> DataFrame:
 def lexical_spans(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each context with the share of their words that the question holds."""
     corpus = table(spark, d, "corpus", *KEY, "input", "context").where("context is not null and ds_name is not null and q_index is not null").dropDuplicates(KEY)
-    spans = pipeline.sentence_spans(corpus).join(corpus.select(*KEY, text.normalized_tokens("input").alias("q")), KEY)
+    spans = pipeline.sentence_spans(corpus.withColumn("q", text.normalized_tokens("input")), "q")
     words = text.normalized_tokens("sentence")
     n = F.size(words)
     return spans.withColumn("score", F.when(n > 0, F.round(F.size(F.filter(words, lambda w: F.array_contains("q", w))) / n, 6)).otherwise(0.0)).drop("q")

@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir`` of the session, or a local one where it is unset (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir`` of the session; where it is unset, the warehouse of a cluster or a local folder of a local session (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/longspan-shared"
     local = os.path.join(tempfile.gettempdir(), "longspan-shared")
     os.makedirs(local, exist_ok=True)
     return f"file://{local}"
