@@ -7,9 +7,11 @@ and the pass without the question share what they compute for a window.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import Protocol
 
 import numpy as np
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: File that tells that a folder of states is complete.
+MARK = "complete.txt"
 #: Windows whose state a provider keeps, first in first out.
 CACHE_ENTRIES = 10
 
@@ -59,12 +63,44 @@ class WindowCache:
         return state
 
 
+    def save(self, folder: str) -> None:
+        """Writes the kept states; a folder that is already complete is left alone, and the mark comes last."""
+        root = Path(folder)
+        if (root / MARK).exists():
+            return
+        root.mkdir(parents=True, exist_ok=True)
+        for i, (key, state) in enumerate(self.kept.items()):
+            np.savez(root / f"{i}.npz", key=np.array(json.dumps(key)), state=state)
+        (root / MARK).touch()
+
+    def load(self, folder: str) -> bool:
+        """Reads states back; False where the folder is not complete."""
+        root = Path(folder)
+        if not (root / MARK).exists():
+            return False
+        for f in sorted(root.glob("*.npz"), key=lambda f: int(f.stem)):
+            with np.load(f) as z:
+                self.kept[tuple(json.loads(str(z["key"])))] = z["state"]
+        return True
+
+
+def in_blocks(make: Callable[[list[str]], np.ndarray], size: int) -> Callable[[list[str]], np.ndarray]:
+    """Makes the state of a window block by block, so that no more than ``size`` tokens are worked on at once."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+
+    def run(window: list[str]) -> np.ndarray:
+        return np.concatenate([make(window[i : i + size]) for i in range(0, max(len(window), 1), size)])
+
+    return run
+
+
 class LexicalProvider:
     """Default: softmax over positions of hashed-embedding similarity to the mean of the query; deterministic and offline."""
 
-    def __init__(self, width: int = 32) -> None:
+    def __init__(self, width: int = 32, block: int = 1024) -> None:
         self.width = width
-        self.cache = WindowCache(self._embed, lambda s, w: np.concatenate([s, self._embed(w[len(s) :])]))
+        self.cache = WindowCache(in_blocks(self._embed, block), lambda s, w: np.concatenate([s, self._embed(w[len(s) :])]))
 
     def _vector(self, token: str) -> np.ndarray:
         h = 1469598103934665603

@@ -57,17 +57,25 @@ def evaluate(
     settings: Settings = Settings(),  # noqa: B008
     make_provider: Callable[[], Provider] = LexicalProvider,
     make_generator: Callable[[], Generator] = ExtractiveGenerator,
+    reuse: dict[str, DataFrame | None] | None = None,
 ) -> dict[str, DataFrame]:
     """Tables of all stages. The spans and the generations are written once and read by what follows, so a lost executor repeats no model call.
 
     One question row a key is taken (repeated rows count once); rows with null keys or blank contexts retrieve nothing.
+    ``reuse`` gives tables of earlier runs for the stages ``spans``, ``cut`` or ``generated``, which are then not computed.
     """
+    reuse = reuse or {}
+    for stage, earlier in reuse.items():
+        if stage not in ("spans", "cut", "generated") or earlier is None:
+            raise ValueError(f"no table to reuse for stage {stage!r}")
     corpus = corpus.where("ds_name is not null and q_index is not null").dropDuplicates(KEY)
-    spans = materialise(sentence_spans(corpus), "spans")
-    attended = attend_windows(window_tokens(spans, corpus), KEY, make_provider)
-    vectors = attended.select(*KEY, reaction(F.col("before"), F.col("after")).alias("reaction"))
-    scored = score_slices(spans, vectors, KEY, settings.score)
-    cut = materialise(rank_and_cut(scored, KEY, settings.budget, settings.compression_ratio, settings.concat_len), "cut")
+    spans = reuse["spans"] if "spans" in reuse else materialise(sentence_spans(corpus), "spans")
+    cut = reuse.get("cut")
+    if cut is None:
+        attended = attend_windows(window_tokens(spans, corpus), KEY, make_provider)
+        vectors = attended.select(*KEY, reaction(F.col("before"), F.col("after")).alias("reaction"))
+        scored = score_slices(spans, vectors, KEY, settings.score)
+        cut = materialise(rank_and_cut(scored, KEY, settings.budget, settings.compression_ratio, settings.concat_len), "cut")
     picked = cut.where("picked")
     pieces = merge_adjacent(picked, KEY) if settings.merge else picked
     retrieved = pieces.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("left", "sentence"))), lambda x: x["sentence"]).alias("cleaned_strlist"))
@@ -75,6 +83,8 @@ def evaluate(
     require_parts(retrieved, ["ntokens", "retrieved_ntokens", "compression_rate", "cleaned_strlist"])
     asked = corpus.select(*KEY, "input", "answers").join(retrieved, KEY)
     prompts = asked.withColumn("prompt", augment(F.coalesce("cleaned_strlist", F.array().cast("array<string>")), F.coalesce("input", F.lit("")), settings.template, settings.concat_str)).withColumn("max_gen_len", F.lit(settings.max_gen_len))
-    made = deferred_requests(prompts.select(*KEY, "prompt")).drop("prompt") if settings.deferred else materialise(generate(prompts, KEY, make_generator), "generated")
+    made = reuse.get("generated")
+    if made is None:
+        made = deferred_requests(prompts.select(*KEY, "prompt")).drop("prompt") if settings.deferred else materialise(generate(prompts, KEY, make_generator), "generated")
     graded = grade(made.join(corpus.select(*KEY, "answers"), KEY), "purely_generated_str", "answers")
     return {"spans": spans, "cut": cut, "retrieved": retrieved, "prompts": prompts, "generated": made, "graded": graded}

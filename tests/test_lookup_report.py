@@ -94,6 +94,23 @@ def test_window_cache():
     assert c.hits == {"exact": 1, "cut": 1, "extended": 1, "made": 4} and len(c.kept) == 2
 
 
+def test_window_states_on_disk(tmp_path):
+    import numpy as np
+
+    from longspan.operators.react import in_blocks
+
+    make = in_blocks(lambda w: np.arange(len(w), dtype=float).reshape(-1, 1), 2)
+    a = WindowCache(make)
+    assert a.get(("k", 1), ["x"] * 5)[:, 0].tolist() == [0, 1, 0, 1, 0] and len(make([])) == 0
+    b = WindowCache(make)
+    assert not b.load(str(tmp_path / "s"))
+    a.save(str(tmp_path / "s"))
+    a.save(str(tmp_path / "s"))
+    assert b.load(str(tmp_path / "s")) and b.get(("k", 1), ["x"] * 5).shape == (5, 1) and b.hits["exact"] == 1
+    with pytest.raises(ValueError):
+        in_blocks(make, 0)
+
+
 def test_attention(spark):
     df = spark.createDataFrame([(1, ["the", "cat", "sat"], ["cat"]), (2, None, None)], "k int, window array<string>, query array<string>")
     got = {r.k: r for r in check_vectors(attend_windows(df, ["k"])).collect()}
