@@ -5,6 +5,8 @@ All are built-in expressions, so they stay in the JVM; none of them shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def normalize_answer(text: Column | str) -> Column:
     return F.array_join(normalized_tokens(text), " ")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _occurrences(words: Column, word: Column) -> Column:
     return F.size(F.filter(words, lambda x: x == word))
 
@@ -49,18 +56,25 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(_occurrences(a, w), _occurrences(b, w)))
 
 
+def _f1(same: Column, n_prediction: Column, n_truth: Column) -> Column:
+    p, r = same / n_prediction, same / n_truth
+    return F.when(same == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
+
+
 def token_f1(prediction: Column, truth: Column) -> Column:
     """F1 of two token arrays; 0 where they share nothing."""
-    same = token_overlap(prediction, truth).cast("double")
-    p, r = same / F.size(prediction), same / F.size(truth)
-    return F.when((F.size(prediction) == 0) | (F.size(truth) == 0) | (same == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    return let(token_overlap(prediction, truth).cast("double"), lambda same: _f1(same, F.size(prediction), F.size(truth)))
 
 
 def answer_f1(generated: Column | str, truth: Column | str) -> Column:
-    """Best F1 over all truths; 0 for null or empty truths. A row whose text contains nothing scores 0."""
+    """Best F1 over all truths; 0 for null or empty truths. A row whose text contains nothing scores 0.
+
+    The answer is normalised once for each row, each truth once.
+    """
     col = F.col(truth) if isinstance(truth, str) else truth
-    scores = F.transform(F.filter(F.coalesce(col, F.array().cast("array<string>")), lambda t: t.isNotNull()), lambda t: token_f1(normalized_tokens(generated), normalized_tokens(t)))
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+    truths = F.filter(F.coalesce(col, F.array().cast("array<string>")), lambda t: t.isNotNull())
+    best = let(normalized_tokens(generated), lambda p: F.array_max(F.transform(F.transform(truths, normalized_tokens), lambda t: token_f1(p, t))))
+    return F.coalesce(best, F.lit(0.0))
 
 
 def success_rate(n_success: Column, n: Column) -> Column:

@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longspan.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN
-from longspan.operators.report import quality
+from longspan.operators.report import distances, quality
 
 TOLERANCE = 30
 
@@ -202,7 +202,8 @@ def align_corpus(rows: DataFrame, key: list[str], make_tokenizer: Callable[[], T
 
 
 def with_quality(aligned: DataFrame) -> DataFrame:
-    pairs: Column = F.zip_with("target_sentences", "sentences", lambda t, d: F.struct(t.alias("target"), d.alias("decoded")))
-    mean, non_zero = quality(pairs)
+    """Adds ``success_rate``, ``mean_dist`` and ``non_zero_mean_dist``."""
+    mean, non_zero = quality(F.col("_d"))
     rate = F.when(F.col("n_sentence") > 0, F.bround(100.0 * F.col("n_sentence_quant_success") / F.col("n_sentence"), 2)).otherwise(F.lit(0.0))
-    return aligned.withColumn("success_rate", rate).withColumn("mean_dist", mean).withColumn("non_zero_mean_dist", non_zero)
+    measured = aligned.withColumn("_d", distances(F.col("target_sentences"), F.col("sentences")))
+    return measured.withColumns({"success_rate": rate, "mean_dist": mean, "non_zero_mean_dist": non_zero}).drop("_d")

@@ -11,6 +11,7 @@ import json
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 from typing import Protocol
 
@@ -100,9 +101,10 @@ class LexicalProvider:
 
     def __init__(self, width: int = 32, block: int = 1024) -> None:
         self.width = width
+        self._vector = lru_cache(100_000)(self._hashed)
         self.cache = WindowCache(in_blocks(self._embed, block), lambda s, w: np.concatenate([s, self._embed(w[len(s) :])]))
 
-    def _vector(self, token: str) -> np.ndarray:
+    def _hashed(self, token: str) -> np.ndarray:
         h = 1469598103934665603
         for c in token.strip().lower().strip(".,;:!?\"'()").encode():
             h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF

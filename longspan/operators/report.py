@@ -77,7 +77,11 @@ def non_zero_mean(distances: Column) -> Column:
     return F.when(n > 0, F.aggregate(distances, F.lit(0.0), lambda s, d: s + d) / n).otherwise(F.lit(0.0))
 
 
-def quality(pairs: Column) -> tuple[Column, Column]:
-    """Mean and non-zero mean of the edit distances of ``array<struct<target,decoded>>``."""
-    d = F.transform(pairs, lambda p: F.levenshtein(p["target"], p["decoded"]).cast("double"))
+def distances(targets: Column, decoded: Column) -> Column:
+    """Edit distance of each pair by position; equal texts cost no matrix."""
+    return F.zip_with(targets, decoded, lambda t, d: F.when(t == d, F.lit(0.0)).otherwise(F.levenshtein(t, d).cast("double")))
+
+
+def quality(d: Column) -> tuple[Column, Column]:
+    """Mean and non-zero mean of an array of distances, which should be a column of its own: both read it."""
     return F.when(F.size(d) > 0, F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)), non_zero_mean(d)

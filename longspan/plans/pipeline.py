@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.stats import reaction
@@ -38,12 +38,15 @@ class Settings:
 
 
 def sentence_spans(corpus: DataFrame, *keep: str) -> DataFrame:
-    """``key, keep..., sent_index, sentence, left, right, ntokens``: sentences with their token offsets, a fold inside the row; columns to ``keep`` go along instead of being joined back."""
-    rows = corpus.select(*KEY, *keep, default_sentences("context").alias("s")).where(F.size("s") > 0)
-    sized = F.transform("s", lambda x: F.size(tokens(x)))
-    lefts = F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.aggregate(F.slice(sized, 1, i), F.lit(0), lambda a, b: a + b))
-    one = rows.select(*KEY, *keep, F.posexplode(F.arrays_zip(F.col("s").alias("sentence"), sized.alias("ntokens"), lefts.alias("left"))).alias("sent_index", "x"))
-    return one.select(*KEY, *keep, "sent_index", F.col("x.sentence").alias("sentence"), F.col("x.left").alias("left"), (F.col("x.left") + F.col("x.ntokens")).alias("right"), F.col("x.ntokens").alias("ntokens"))
+    """``key, keep..., sent_index, sentence, left, right, ntokens``: sentences with their token offsets; columns to ``keep`` go along instead of being joined back.
+
+    Each text is split once and each sentence tokenized once; the offsets are a running sum by key, which shares the key's partitioning with
+    what made the rows distinct.
+    """
+    one = corpus.select(*KEY, *keep, F.posexplode(default_sentences("context")).alias("sent_index", "sentence"))
+    sized = one.withColumn("ntokens", F.size(tokens("sentence")))
+    right = F.sum("ntokens").over(Window.partitionBy(*KEY).orderBy("sent_index").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return sized.withColumn("right", right).select(*KEY, *keep, "sent_index", "sentence", (F.col("right") - F.col("ntokens")).alias("left"), "right", "ntokens")
 
 
 def window_tokens(spans: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -140,9 +140,8 @@ def lexical_spans(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each context with the share of their words that the question holds."""
     corpus = table(spark, d, "corpus", *KEY, "input", "context").where("context is not null and ds_name is not null and q_index is not null").dropDuplicates(KEY)
     spans = pipeline.sentence_spans(corpus.withColumn("q", text.normalized_tokens("input")), "q")
-    words = text.normalized_tokens("sentence")
-    n = F.size(words)
-    return spans.withColumn("score", F.when(n > 0, F.round(F.size(F.filter(words, lambda w: F.array_contains("q", w))) / n, 6)).otherwise(0.0)).drop("q")
+    share = lambda words: F.when(F.size(words) > 0, F.round(F.size(F.filter(words, lambda w: F.array_contains("q", w))) / F.size(words), 6)).otherwise(0.0)
+    return spans.withColumn("score", text.let(text.normalized_tokens("sentence"), share)).drop("q")
 
 
 def retrieve_ratio_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +214,7 @@ def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_f1(spark: SparkSession, d: str) -> DataFrame:
     one = pairs(spark, d).select("gen_id", "generated", F.posexplode("truth").alias("truth_index", "t")).where("t is not null")
-    return one.select("gen_id", "truth_index", F.round(text.token_f1(text.normalized_tokens("generated"), text.normalized_tokens("t")), 6).alias("f1"))
+    return one.select("gen_id", "truth_index", F.round(text.let(text.normalized_tokens("generated"), lambda p: text.let(text.normalized_tokens("t"), lambda t: text.token_f1(p, t))), 6).alias("f1"))
 
 
 def qa_f1_multi_truth(spark: SparkSession, d: str) -> DataFrame:

@@ -33,11 +33,10 @@ def test_align_corpus_handles_nulls(spark):
 
 
 def test_edit_distances(spark):
-    from longspan.operators.report import non_zero_mean, quality
+    from longspan.operators.report import distances, non_zero_mean, quality
 
     assert spark.range(1).select(non_zero_mean(F.array(F.lit(0.0), F.lit(2.0), F.lit(4.0))).alias("x")).collect()[0].x == 3.0
-    pairs = F.array(F.struct(F.lit("ab").alias("target"), F.lit("ab").alias("decoded")), F.struct(F.lit("ab").alias("target"), F.lit("abcd").alias("decoded")))
-    mean, nz = quality(pairs)
+    mean, nz = quality(distances(F.array(F.lit("ab"), F.lit("ab")), F.array(F.lit("ab"), F.lit("abcd"))))
     r = spark.range(1).select(mean.alias("m"), nz.alias("z")).collect()[0]
     assert (r.m, r.z) == (1.0, 2.0)
 
