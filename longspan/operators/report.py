@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.stats import gmean
@@ -10,16 +12,39 @@ from longspan.functions.stats import gmean
 QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
 
 
+#: How far around a quantile its exact value is sought, and the accuracy of the sketch that brackets it; groups up to SMALL rows are searched whole.
+BRACKET, ACCURACY, SMALL = 0.01, 1_000, 2_000
+
+
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """``by..., metric, count, mean, std, min, p25, p50, p75, max`` of numeric columns; std over n - 1.
+    """``by..., metric, count, mean, std, min, p25, p50, p75, max`` of numeric columns; std over n - 1, quartiles linear.
 
-    Quartiles are linear and exact; ``exact=False`` takes the sketch instead, for groups of more distinct values than a task should hold.
+    The quartiles are exact without holding a group's values in one task: a sketch brackets each, what lies below the bracket is only counted, and
+    the few values inside are counted by value and ranked. ``exact=False`` takes the sketch itself.
     """
     by = by or []
+    keys = [*by, "metric"]
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select(*by, "m.*")
-    q = F.percentile("v", [p for _, p in QUARTILES]) if exact else F.percentile_approx("v", [p for _, p in QUARTILES], 10_000)
-    out = long.groupBy(*by, "metric").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("_q"), F.max("v").alias("max"))
-    return out.select(*by, "metric", "count", "mean", "std", "min", *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(QUARTILES)], "max")
+    bounds = [p for _, q in QUARTILES for p in (max(q - BRACKET, 0.0), q, min(q + BRACKET, 1.0))]
+    stats = long.groupBy(*keys).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", bounds, ACCURACY).alias("_b"))
+    out = [*keys, "count", "mean", "std", "min"]
+    if not exact:
+        return stats.select(*out, *[F.col("_b")[3 * i + 1].alias(name) for i, (name, _) in enumerate(QUARTILES)], "max")
+    small = F.col("count") <= SMALL
+    brackets = [
+        F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("count") - 1)).alias("pos"), F.when(small, F.col("min")).otherwise(F.col("_b")[3 * i]).alias("lo"), F.when(small, F.col("max")).otherwise(F.col("_b")[3 * i + 2]).alias("hi"))
+        for i, (_, q) in enumerate(QUARTILES)
+    ]
+    want = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.array(*brackets)).alias("w")).select(*[f"_{k}" for k in keys], "w.*")
+    near = long.join(want, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).where(F.col("v") <= F.col("hi"))
+    counted = near.groupBy(*keys, "i", "pos", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("x")).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("c", up_to)
+    low, high = F.min(F.when(F.col("c") > F.floor("pos"), F.col("x"))), F.min(F.when(F.col("c") > F.ceil("pos"), F.col("x")))
+    at = ranked.groupBy(*keys, "i", "pos").agg(low.alias("low"), high.alias("high")).withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("pos") - F.floor("pos")))
+    wide = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, (name, _) in enumerate(QUARTILES)])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return stats.join(wide, same, "left").select(*out, *[name for name, _ in QUARTILES], "max")
 
 
 def mean_by(df: DataFrame, keys: list[str], columns: list[str], digits: int | None = 2) -> DataFrame:

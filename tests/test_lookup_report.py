@@ -68,6 +68,22 @@ def test_describe(spark):
     assert (r["count"], r["mean"], r.p25, r.p50, r.max) == (4, 2.5, 1.75, 2.5, 4.0) and r["std"] == pytest.approx(1.2909944)
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_quartiles_of_large_groups(spark, exact):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(g, float(rng.choice([7.0, rng.gauss(0, 50), rng.randint(0, 9)]))) for g in ("a", None) for _ in range(6001)] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in report.describe(df, ["v"], ["g"], exact).collect()}
+    assert got["b"]["count"] == 0 and got["b"].p50 is None
+    for g in ("a", None):
+        want = np.quantile([v for k, v in rows if k == g], [0.25, 0.5, 0.75])
+        assert [got[g].p25, got[g].p50, got[g].p75] == pytest.approx(want.tolist(), abs=1e-9 if exact else 2.0)
+
+
 def test_throughput_without_time(spark):
     df = spark.createDataFrame([("m", 0.0, 1, 2)], "m string, e double, p int, g int")
     assert report.throughput(df, ["m"], "e", "p", "g").collect()[0].requests_per_second is None
