@@ -15,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give at most a quarter of the cluster's cores something to do is dealt out over all of them.
+
+    For stages of much work a row. Only for plain scans (the partitions are counted when the plan is built); a scan of enough splits
+    passes unchanged, so at scale nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 4 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir`` of the session; where it is unset, the warehouse of a cluster or a local folder of a local session (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
