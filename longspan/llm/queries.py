@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.llm import budget, encode, leaks, pairs, reading, repetition, sentences, split
-from longspan.sources.tables import table
+from longspan.sources.tables import spread, table
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -27,15 +27,15 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.judge_pairs(table(spark, d, "generations"))
+    return pairs.judge_pairs(spread(table(spark, d, "generations", "gen_id", "query", "generated", "truth")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetitive(table(spark, d, "generations"), "gen_id", "generated")
+    return repetition.repetitive(spread(table(spark, d, "generations", "gen_id", "generated")), "gen_id", "generated")
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition_shares(table(spark, d, "generations"), "gen_id", "generated").distinct()
+    return repetition.repetition_shares(spread(table(spark, d, "generations", "gen_id", "generated")), "gen_id", "generated").distinct()
 
 
 def counted_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -56,16 +56,16 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    corpus = table(spark, d, "corpus", "ds_name", "q_index", "context")
+    corpus = spread(table(spark, d, "corpus", "ds_name", "q_index", "context"))
     return sentences.sentence_units(corpus, sentences.train_sentences(corpus, table(spark, d, "target_sentences")))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return encode.encode_texts(spread(table(spark, d, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"))
+    return leaks.leaks(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graded(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    docs = spread(table(spark, d, "documents", "doc_id", "text", "source"))
     return reading.reading_levels(docs, reading.train_grader(docs, table(spark, d, "reading_labels")))
 
 
