@@ -312,3 +312,44 @@ def test_queries_registered():
 
     assert {f"p{n}_" for n in (1, 2, 4, 5, 6, 7, 8, 9)} <= {q[:3] for q in QUERIES} and set(ORACLE_SQL) <= set(QUERIES)
     json.dumps(ORACLE_SQL)
+
+
+# ---- columns that clash, empty tables ----------------------------------------------------------------------
+
+CLASH = "'x' as h1, 'x' as h2, 'x' as n, 'x' as m, 'x' as gone, 'x' as k, 'x' as e, 'x' as w, 'x' as share, 'x' as item_id, 'x' as piece, 'x' as level, 'x' as grade, 'x' as f, 'x' as g, 'x' as start_char, 'x' as ids, 'x' as n_words, 'x' as defect, 'x' as word, 'x' as estimated, 'x' as ratio, 'x' as most, 'x' as ds"
+
+
+def clashing(df):
+    have = set(df.columns)
+    return df.selectExpr("*", *[c for c in CLASH.split(", ") if c.split()[-1] not in have])
+
+
+@needs_vocab
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns_and_empty_tables(spark, empty):
+    def made(rows, ddl):
+        return clashing(spark.createDataFrame([] if empty else rows, ddl))
+
+    docs = made([(1, "the plain text is here " * 20, "s", "en", "d"), (2, None, None, None, None), (2, None, None, None, None)], "doc_id bigint, text string, source string, lang string, domain string")
+    corpus = made([("a", 1, "One two. Three.", "en"), (None, 2, "x", None), ("a", None, "x", "en"), ("b", 3, None, "en")], "ds_name string, q_index int, context string, lang string")
+    counts = made([("a", 1, "m", 3, None), ("a", 1, "m", 3, None), (None, None, None, None, None)], "ds_name string, q_index int, model_name string, ntokens int, loaded_at string")
+    models = made([("m", 10, 2), ("m", 10, 2), (None, None, None)], "model_name string, window_tokens int, overlap_tokens int")
+    gens = made([(1, "Q?", "na na na na na", ["x"]), (1, "Q?", "na na na na na", ["x"]), (None, None, None, None)], "gen_id bigint, query string, generated string, truth array<string>")
+    al = made([("a", 1, "m", [0, 30], 30), (None, None, None, None, None)], "ds_name string, q_index int, model_name string, sentence_quant_indices array<int>, n_tokens int")
+    labels = made([(1, "r", "easy"), (None, None, None)], "doc_id bigint, rater string, level string")
+    targets = made([("a", 1, ["One two.", "Three."]), ("a", 1, ["One two.", "Three."]), (None, None, None)], "ds_name string, q_index int, target_sentences array<string>")
+    items = spark.createDataFrame([(5, "the plain text is here the plain text"), (None, "x"), (6, None)], "item_id bigint, passage string")
+    sizes = {
+        "split": split.split_items(al, models).count(),
+        "texts": split.split_texts(corpus, ["ds_name", "q_index"], "context", 4, 1).where("ds_name is not null").count(),
+        "pairs": pairs.judge_pairs(gens).count(),
+        "repetitive": repetition.repetitive(gens, "gen_id", "generated").count(),
+        "shares": repetition.repetition_shares(gens, "gen_id", "generated").count(),
+        "documents": budget.document_budget(docs, ["source", "lang", "domain"]).count(),
+        "counts": budget.corpus_token_counts(corpus, counts, models).count(),
+        "units": sentences.sentence_units(corpus, sentences.train_sentences(corpus, targets)).count(),
+        "ids": encode.encode_texts(docs, "doc_id", "text").count(),
+        "leaks": leaks.leaks(docs, items).count(),
+        "levels": reading.reading_levels(docs, reading.train_grader(docs, labels)).count(),
+    }
+    assert all(n == 0 for n in sizes.values()) if empty else (sizes["split"], sizes["units"], sizes["ids"], sizes["leaks"], sizes["levels"], sizes["counts"], sizes["repetitive"], sizes["shares"]) == (4, 2, 3, 1, 1, 1, 1, 3), sizes
