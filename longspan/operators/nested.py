@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from longspan.sources.tables import materialise
+
 #: An object is read as a map if it has no key that looks like a field name, or more keys than this.
 MAX_FIELDS = 256
 _FIELD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*$")
@@ -219,7 +221,8 @@ def dag_tables(records: DataFrame) -> dict[str, DataFrame]:
     are one, different records of one dag_id stay apart), the key of a root its ``left:right``, that of a leaf its
     sent_index. Null elements and indices without the parts of their key make no row; dangling children
     keep their edge. Repeated children and chunks stand once. Null records, fields and arrays make no rows. One shuffle
-    drops repeated records; the tables are then exploded where the records lie.
+    drops repeated records, which are written once to the shared folder in their canonical form: each table reads its own columns
+    of them and explodes them where they lie, and no payload is parsed twice.
     """
     rows = records.select(
         "dag_id",
@@ -228,6 +231,7 @@ def dag_tables(records: DataFrame) -> dict[str, DataFrame]:
         F.transform("p2c", lambda e: F.struct(*_flat(e["parent"], "parent_"), F.transform(e["children"], lambda i: F.struct(*_flat(i, "child_"))).alias("children"))).alias("p2c"),
     )
     rows = rows.where("dag_id is not null").withColumn("record", F.xxhash64("chunks", "levels", "p2c")).groupBy("dag_id", "record").agg(*[F.first(c).alias(c) for c in ("chunks", "levels", "p2c")])
+    rows = materialise(rows, "records")
     key = ["dag_id", "record"]
     chunks = flatten_tables(rows, key, "chunks", carry=True)
     levels = flatten_tables(rows, key, "levels", carry=True)
