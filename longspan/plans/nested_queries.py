@@ -46,7 +46,8 @@ _RECORDS = (
     """
     WITH payloads AS (
         SELECT DISTINCT dag_id, coalesce(CAST(payload AS JSON) -> '$.dag', CAST(payload AS JSON)) AS j FROM dag_exports WHERE json_valid(payload)),
-    ji AS (SELECT dag_id, unnest(CAST(j -> '$.chunks' AS JSON[])) -> '$.index' AS i FROM payloads),
+    jc AS (SELECT dag_id, unnest(CAST(j -> '$.chunks' AS JSON[])) AS c FROM payloads),
+    ji AS (SELECT dag_id, c -> '$.index' AS i FROM jc),
     jl AS (SELECT dag_id, unnest(CAST(j -> '$.h2indices."-1"' AS JSON[])) AS i, -1 AS lev FROM payloads UNION ALL SELECT dag_id, unnest(CAST(j -> '$.h2indices."0"' AS JSON[])), 0 FROM payloads),
     je AS (
         SELECT dag_id, e -> '$.parent' AS p, unnest(CAST(e -> '$.children' AS JSON[])) AS c
@@ -58,9 +59,9 @@ _RECORDS = (
     tl AS (SELECT dag_id, unnest(h2indices['-1']) AS i, -1 AS lev FROM chunk_dags UNION ALL SELECT dag_id, unnest(h2indices['0']), 0 FROM chunk_dags),
     te AS (SELECT dag_id, e.key AS k, unnest(e.value) AS c FROM (SELECT dag_id, unnest(map_entries(p2c_edge)) AS e FROM chunk_dags)),
     nodes AS (
-        SELECT dag_id, c."index".hierarchy_index AS h, c."index".lr_index[1] AS l, c."index".lr_index[2] AS r, c."index".sent_index AS s FROM ti WHERE c IS NOT NULL
+        SELECT dag_id, c."index".hierarchy_index AS h, c."index".lr_index[1] AS l, c."index".lr_index[2] AS r, c."index".sent_index AS s, c."index".passage_index AS p FROM ti WHERE c IS NOT NULL
         UNION SELECT dag_id, CAST(i ->> '$.hierarchy_index' AS INT), """
-    + "CAST(coalesce(i ->> '$.lr_index.left', i ->> '$.lr_index[0]') AS INT), CAST(coalesce(i ->> '$.lr_index.right', i ->> '$.lr_index[1]') AS INT), CAST(i ->> '$.sent_index' AS INT) FROM ji WHERE json_type(i) = 'OBJECT'),"
+    + "CAST(coalesce(i ->> '$.lr_index.left', i ->> '$.lr_index[0]') AS INT), CAST(coalesce(i ->> '$.lr_index.right', i ->> '$.lr_index[1]') AS INT), CAST(i ->> '$.sent_index' AS INT), CAST(i ->> '$.passage_index' AS INT) FROM ji WHERE json_type(i) = 'OBJECT'),"
     + """
     members AS (
         SELECT dag_id, lev, i.hierarchy_index AS h, i.lr_index[1] AS l, i.lr_index[2] AS r, i.sent_index AS s FROM tl WHERE i IS NOT NULL
@@ -82,6 +83,14 @@ ORACLE_SQL: dict[str, str] = {
         AND EXISTS (SELECT 1 FROM nodes n WHERE n.dag_id = k.dag_id AND n.h = 0 AND n.s = k.cs)
         AND EXISTS (SELECT 1 FROM members n WHERE n.dag_id = k.dag_id AND n.lev = -1 AND n.h = -1 AND n.l = k.pl AND n.r = k.pr)
         AND EXISTS (SELECT 1 FROM members n WHERE n.dag_id = k.dag_id AND n.lev = 0 AND n.h = 0 AND n.s = k.cs)""",
+    "p3_nodes": _RECORDS
+    + f"""SELECT DISTINCT dag_id, h AS hierarchy_index, {_KEY} AS key, l AS "left", r AS "right", p AS passage_index, s AS sent_index FROM nodes WHERE {_KEY} IS NOT NULL""",
+    "p3_sentences": _RECORDS
+    + f""", said AS (
+            SELECT dag_id, c."index".hierarchy_index AS h, c."index".lr_index[1] AS l, c."index".lr_index[2] AS r, c."index".sent_index AS s, unnest(c.sentences) AS sentence, unnest(range(len(c.sentences))) AS o FROM ti WHERE c IS NOT NULL
+            UNION SELECT dag_id, CAST(i ->> '$.hierarchy_index' AS INT), CAST(coalesce(i ->> '$.lr_index.left', i ->> '$.lr_index[0]') AS INT), CAST(coalesce(i ->> '$.lr_index.right', i ->> '$.lr_index[1]') AS INT), CAST(i ->> '$.sent_index' AS INT), x ->> '$', o
+            FROM (SELECT dag_id, c -> '$.index' AS i, unnest(CAST(c -> '$.sentences' AS JSON[])) AS x, unnest(range(CAST(json_array_length(c -> '$.sentences') AS BIGINT))) AS o FROM jc WHERE json_type(c -> '$.sentences') = 'ARRAY'))
+        SELECT DISTINCT dag_id, h AS hierarchy_index, {_KEY} AS key, CAST(o AS INTEGER) AS ordinal, sentence FROM said WHERE {_KEY} IS NOT NULL""",
     "p3_edges": _RECORDS
     + """SELECT DISTINCT dag_id, ph AS parent_hierarchy_index, CASE WHEN ph = -1 THEN pl || ':' || pr END AS parent_key, pl AS parent_left, pr AS parent_right,
             ch AS child_hierarchy_index, CAST(cs AS VARCHAR) AS child_key, cs AS child_sent_index
