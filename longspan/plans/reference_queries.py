@@ -35,12 +35,12 @@ def token_count_by_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 def token_count_describe(spark: SparkSession, d: str) -> DataFrame:
     out = report.describe(counted_documents(spark, d), ["ntokens"])
-    return out.select("metric", "count", *[r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    return out.select("metric", "count", F.round("mean", 9).alias("mean"), *[r6(c) for c in ("std", "min", "p25", "p50", "p75", "max")])
 
 
 def token_count_describe_by_dataset(spark: SparkSession, d: str) -> DataFrame:
     out = report.describe(counted_documents(spark, d), ["ntokens"], ["ds_name"])
-    return out.select("ds_name", "metric", "count", *[r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    return out.select("ds_name", "metric", "count", F.round("mean", 9).alias("mean"), *[r6(c) for c in ("std", "min", "p25", "p50", "p75", "max")])
 
 
 def sentence_split_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ def macro_mean_by_class(spark: SparkSession, d: str) -> DataFrame:
 def mean_transpose(spark: SparkSession, d: str) -> DataFrame:
     rows = pairs(spark, d, "ds_name", "elapsed_time", "generated_ntokens")
     out = report.mean_transpose(grade.grade(rows), "ds_name", DATASETS, ["score", "elapsed_time", "generated_ntokens"])
-    return out.select("metric", *[F.round(c, 6).alias(f"ds_{c}") for c in DATASETS])
+    return out.select("metric", *[F.round(c, 9).alias(f"ds_{c}") for c in DATASETS])
 
 
 def token_bag(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +299,7 @@ def success_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def elapsed_describe(spark: SparkSession, d: str) -> DataFrame:
     out = report.describe(pairs(spark, d, "ds_name", "elapsed_time", "generated_ntokens"), ["elapsed_time", "generated_ntokens"], ["ds_name"])
-    return out.select("ds_name", "metric", "count", *[r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+    return out.select("ds_name", "metric", "count", F.round("mean", 9).alias("mean"), *[r6(c) for c in ("std", "min", "p25", "p50", "p75", "max")])
 
 
 def throughput_report(spark: SparkSession, d: str) -> DataFrame:
@@ -429,7 +429,7 @@ _SPANS = f"""c AS (SELECT DISTINCT ds_name, q_index, input, context FROM corpus
     cut AS (SELECT *, cum < {BUDGET} - {CONCAT} * floor(n / {RATIO}) AND rank < floor(n / {RATIO}) AS picked FROM rk)"""
 _VECTORS = """v AS (SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(b.embedding[i] AS DOUBLE) - CAST(a.embedding[i] AS DOUBLE))) AS r
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
-_DESCRIBE = "count({0}) AS count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0})::DOUBLE, 6) AS min, round(quantile_cont({0}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({0}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({0}::DOUBLE, 0.75), 6) AS p75, round(max({0})::DOUBLE, 6) AS max"
+_DESCRIBE = "count({0}) AS count, round(avg({0}), 9) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0})::DOUBLE, 6) AS min, round(quantile_cont({0}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({0}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({0}::DOUBLE, 0.75), 6) AS p75, round(max({0})::DOUBLE, 6) AS max"
 
 
 def _cells(value: str, digits: str = "6") -> str:
@@ -482,7 +482,7 @@ ORACLE_SQL: dict[str, str] = {
     "best_of_generations": f"WITH {_PAIRS} SELECT ds_name, q_index, model_name, round(max(score), 6) AS score, count(*) AS n_generations FROM s GROUP BY ALL",
     "score_pivot": f"WITH {_PAIRS} SELECT model_name, exp_type, {_cells('score * 100')} FROM s JOIN datasets USING (ds_name) GROUP BY model_name, exp_type",
     "macro_mean_by_class": f"WITH {_PAIRS}, m AS (SELECT model_name, exp_type, ds_class, ds_name, avg(score) * 100 AS v FROM s JOIN datasets USING (ds_name) GROUP BY ALL) SELECT model_name, exp_type, ds_class, round(avg(v), 6) AS score, count(*) AS n_members FROM m GROUP BY ALL",
-    "mean_transpose": f"WITH {_PAIRS}, u AS (SELECT ds_name, 'score' AS metric, score AS v FROM s UNION ALL SELECT ds_name, 'elapsed_time', elapsed_time FROM s UNION ALL SELECT ds_name, 'generated_ntokens', generated_ntokens FROM s) SELECT metric, {_cells('v')} FROM u GROUP BY metric",
+    "mean_transpose": f"WITH {_PAIRS}, u AS (SELECT ds_name, 'score' AS metric, score AS v FROM s UNION ALL SELECT ds_name, 'elapsed_time', elapsed_time FROM s UNION ALL SELECT ds_name, 'generated_ntokens', generated_ntokens FROM s) SELECT metric, {_cells('v', '9')} FROM u GROUP BY metric",
     "token_bag": f"SELECT token, count(*) AS n FROM (SELECT unnest({_norm('generated')}) AS token FROM (SELECT DISTINCT gen_id, generated, truth FROM generations)) GROUP BY token",
     "edit_distance_quality": """WITH g AS (SELECT DISTINCT gen_id, generated, truth, ds_name FROM generations),
         d AS (SELECT ds_name, levenshtein(regexp_replace(coalesce(truth[1], ''), '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(coalesce(generated, ''), '[^\\x00-\\x7F]', '?', 'g')) AS dist FROM g)
