@@ -53,11 +53,11 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_csv(means, f"{args.out}/alignment_report.csv")
     elif args.command == "evaluate":
         corpus = lookup.select_questions(table(spark, args.data, "corpus"), args.q_index, args.questions)
-        out = pipeline.evaluate(corpus, pipeline.Settings(budget=args.budget, compression_ratio=args.ratio, deferred=args.deferred))
+        out = pipeline.evaluate(corpus, pipeline.Settings(budget=args.budget, compression_ratio=args.ratio, deferred=args.deferred), models=table(spark, args.data, "models"))
         for name, df in out.items():
             sinks.write_stage(df, args.out, name)
         if args.deferred:
-            sinks.append_jsonl(out["prompts"].select(*key, F.col("input").alias("query"), F.col("answers").alias("truth"), "prompt"), f"{args.out}/requests.jsonl")
+            sinks.append_jsonl(out["prompts"].select(*key, "model_name", F.col("input").alias("query"), F.col("answers").alias("truth"), "prompt"), f"{args.out}/requests.jsonl")
     else:
         rows = grade.grade(table(spark, args.data, "generations").dropDuplicates(["gen_id"]))
         sinks.write_stage(rows.select("gen_id", "model_name", "exp_type", "ds_name", "q_index", "score"), args.out, "graded")

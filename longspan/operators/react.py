@@ -131,20 +131,30 @@ def pool(attention: np.ndarray, how: str = "mean") -> np.ndarray:
 
 
 def attend_windows(windows: DataFrame, key: list[str], make_provider: Callable[[], Provider] = LexicalProvider) -> DataFrame:
-    """``key..., before, after``: attention on each token of ``window`` without and with ``query`` (arrays of tokens); null windows count as empty."""
+    """``key..., before, after``: attention on each token of ``window`` without and with ``query`` (arrays of tokens); null windows count as empty.
+
+    Where there is a column ``roots`` (``array<struct<left,right>>``, from 0 on), each root is attended to by itself and the vectors are joined in
+    root order; roots that do not cover the window are an error, a null array takes the window as one root.
+    """
     kinds = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in key)
+    packed = "roots" in windows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make_provider()
         n = len(key)
         for b in batches:
             before, after = [], []
-            for w, q in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
-                before.append(provider.attend(w or [], []))
-                after.append(provider.attend(w or [], q or []))
+            roots = b.column(n + 2).to_pylist() if packed else [None] * b.num_rows
+            for w, q, r in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), roots, strict=True):
+                parts = [w or []] if r is None else [(w or [])[x["left"] : x["right"]] for x in r]
+                if sum(map(len, parts)) != len(w or []):
+                    raise ValueError("roots do not cover the window")
+                pairs = [(provider.attend(p, []), provider.attend(p, q or [])) for p in parts]
+                before.append([x for p, _ in pairs for x in p])
+                after.append([x for _, p in pairs for x in p])
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(before, pa.list_(pa.float64())), pa.array(after, pa.list_(pa.float64()))], names=[*key, "before", "after"])
 
-    return windows.select(*key, "window", "query").mapInArrow(run, f"{kinds}, before array<double>, after array<double>")
+    return windows.select(*key, "window", "query", *(["roots"] if packed else [])).mapInArrow(run, f"{kinds}, before array<double>, after array<double>")
 
 
 def check_vectors(attended: DataFrame) -> DataFrame:

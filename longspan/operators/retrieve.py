@@ -15,9 +15,12 @@ from longspan.functions.stats import aggregate_score, cosine_distance, normal_cd
 from longspan.sources.tables import materialise
 
 
-def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str = "gmean") -> DataFrame:
-    """Joins each span ``[left, right)`` with its key's reaction vector and scores the slice; empty slices score 0."""
-    joined = spans.join(vectors.select(*key, "reaction"), key)
+def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str = "gmean", per: list[str] | None = None) -> DataFrame:
+    """Joins each span ``[left, right)`` with its key's reaction vector and scores the slice; empty slices score 0.
+
+    ``per`` names columns that tell several vectors of a key apart: a span then has one row for each.
+    """
+    joined = spans.join(vectors.select(*key, *(per or []), "reaction"), key)
     part = F.slice("reaction", F.col("left") + 1, F.greatest(F.col("right") - F.col("left"), F.lit(0)))
     return joined.withColumn("score", aggregate_score(part, how)).drop("reaction")
 

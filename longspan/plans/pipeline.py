@@ -1,4 +1,4 @@
-"""The whole evaluation as one plan over all questions: chunk, retrieve, augment, generate, grade, each stage a table."""
+"""The whole evaluation as one plan over all questions and models: chunk, pack, retrieve, augment, generate, grade, each stage a table."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from longspan.functions.text import tokens
 from longspan.operators.generate import ExtractiveGenerator, Generator, generate
 from longspan.operators.grade import grade
 from longspan.operators.lookup import require_parts
+from longspan.operators.pack import with_roots
 from longspan.operators.prompt import DEFAULT_TEMPLATE, augment, deferred_requests
 from longspan.operators.react import LexicalProvider, Provider, attend_windows
 from longspan.operators.retrieve import compression, merge_adjacent, rank_and_cut, score_slices
@@ -50,8 +51,10 @@ def sentence_spans(corpus: DataFrame, *keep: str) -> DataFrame:
 
 
 def window_tokens(spans: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``key, window, query``: all tokens of the sentences in order, and those of the question."""
-    words = spans.groupBy(*KEY).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sent_index", tokens("sentence").alias("t")))), lambda x: x["t"])).alias("window"))
+    """``key, window, sentence_quant_indices, query``: all tokens of the sentences in order, the offsets of the sentences, and the tokens of the question."""
+    ordered = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("sent_index", "right", tokens("sentence").alias("t")))).alias("s"))
+    offsets = F.concat(F.array(F.lit(0)), F.transform("s", lambda x: x["right"]))
+    words = ordered.select(*KEY, F.flatten(F.transform("s", lambda x: x["t"])).alias("window"), offsets.alias("sentence_quant_indices"))
     return words.join(corpus.select(*KEY, tokens(F.coalesce("input", F.lit(""))).alias("query")), KEY)
 
 
@@ -61,33 +64,44 @@ def evaluate(
     make_provider: Callable[[], Provider] = LexicalProvider,
     make_generator: Callable[[], Generator] = ExtractiveGenerator,
     reuse: dict[str, DataFrame | None] | None = None,
+    models: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tables of all stages. The spans and the generations are written once and read by what follows, so a lost executor repeats no model call.
 
     One question row a key is taken (repeated rows count once); rows with null keys or blank contexts retrieve nothing.
     ``reuse`` gives tables of earlier runs for the stages ``spans``, ``cut`` or ``generated``, which are then not computed.
+    With ``models`` (``model_name, window_tokens, root_split_offset``) sentences are packed into the root windows of each model, each root is attended to by
+    itself, and all tables but the spans have a row for each model; without, there is no window to keep to and a context is one root.
     """
     reuse = reuse or {}
     for stage, earlier in reuse.items():
         if stage not in ("spans", "cut", "generated") or earlier is None:
             raise ValueError(f"no table to reuse for stage {stage!r}")
+        if stage != "spans" and ("model_name" in earlier.columns) != (models is not None):
+            raise ValueError(f"the table to reuse for stage {stage!r} is of a run with other models")
+    run = [] if models is None else ["model_name"]
+    key = KEY + run
     corpus = corpus.where("ds_name is not null and q_index is not null").dropDuplicates(KEY)
     spans = reuse["spans"] if "spans" in reuse else materialise(sentence_spans(corpus), "spans")
     cut = reuse.get("cut")
     if cut is None:
-        attended = attend_windows(window_tokens(spans, corpus), KEY, make_provider)
-        vectors = attended.select(*KEY, reaction(F.col("before"), F.col("after")).alias("reaction"))
-        scored = score_slices(spans, vectors, KEY, settings.score)
-        cut = materialise(rank_and_cut(scored, KEY, settings.budget, settings.compression_ratio, settings.concat_len), "cut")
+        windows = window_tokens(spans, corpus)
+        if models is not None:
+            one = models.where("model_name is not null").dropDuplicates(["model_name"])
+            windows = with_roots(windows.crossJoin(F.broadcast(one.select("model_name"))), F.broadcast(one))
+        attended = attend_windows(windows, key, make_provider)
+        vectors = attended.select(*key, reaction(F.col("before"), F.col("after")).alias("reaction"))
+        scored = score_slices(spans, vectors, KEY, settings.score, run)
+        cut = materialise(rank_and_cut(scored, key, settings.budget, settings.compression_ratio, settings.concat_len), "cut")
     picked = cut.where("picked")
-    pieces = merge_adjacent(picked, KEY) if settings.merge else picked
-    retrieved = pieces.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("left", "sentence"))), lambda x: x["sentence"]).alias("cleaned_strlist"))
-    retrieved = compression(cut, KEY).join(retrieved, KEY, "left")
+    pieces = merge_adjacent(picked, key) if settings.merge else picked
+    retrieved = pieces.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("left", "sentence"))), lambda x: x["sentence"]).alias("cleaned_strlist"))
+    retrieved = compression(cut, key).join(retrieved, key, "left")
     require_parts(retrieved, ["ntokens", "retrieved_ntokens", "compression_rate", "cleaned_strlist"])
     asked = corpus.select(*KEY, "input", "answers").join(retrieved, KEY)
     prompts = asked.withColumn("prompt", augment(F.coalesce("cleaned_strlist", F.array().cast("array<string>")), F.coalesce("input", F.lit("")), settings.template, settings.concat_str)).withColumn("max_gen_len", F.lit(settings.max_gen_len))
     made = reuse.get("generated")
     if made is None:
-        made = deferred_requests(prompts.select(*KEY, "prompt")).drop("prompt") if settings.deferred else materialise(generate(prompts, KEY, make_generator), "generated")
+        made = deferred_requests(prompts.select(*key, "prompt")).drop("prompt") if settings.deferred else materialise(generate(prompts, key, make_generator), "generated")
     graded = grade(made.join(corpus.select(*KEY, "answers"), KEY), "purely_generated_str", "answers")
     return {"spans": spans, "cut": cut, "retrieved": retrieved, "prompts": prompts, "generated": made, "graded": graded}

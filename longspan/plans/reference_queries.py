@@ -356,9 +356,10 @@ def align_fixed_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attention_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All stages from corpus to score with the offline providers."""
-    out = pipeline.evaluate(table(spark, d, "corpus", *KEY, "input", "context", "answers").where("context is not null"))
-    return out["graded"].select(*KEY, "purely_generated_str", "purely_generated_ntokens", F.round("score", 6).alias("score"))
+    """All stages from corpus to score with the offline providers, in the root windows of each model."""
+    corpus = table(spark, d, "corpus", *KEY, "input", "context", "answers").where("context is not null")
+    out = pipeline.evaluate(corpus, models=table(spark, d, "models", "model_name", "window_tokens", "root_split_offset"))
+    return out["graded"].select(*MODEL_KEY, "purely_generated_str", "purely_generated_ntokens", F.round("score", 6).alias("score"))
 
 
 def stream_grades(spark: SparkSession, d: str) -> DataFrame:

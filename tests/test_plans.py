@@ -34,6 +34,32 @@ def test_pipeline(spark):
     assert {r.purely_generated_str for r in deferred} == {""}
 
 
+def test_pipeline_packs_into_the_windows_of_each_model(spark):
+    from longspan.plans.pipeline import Settings, evaluate
+
+    class RootLength:
+        """Attention by which the reaction of a token tells the length of the root it was read in."""
+
+        def attend(self, window, query):
+            return [float(len(window)) if query else 0.5] * len(window)
+
+    df = spark.createDataFrame([("a", 0, "Who ran?", "A cat sat. The dog ran. It rained hard. One two three four five six seven.", ["the dog"])], "ds_name string, q_index int, input string, context string, answers array<string>")
+    models = spark.createDataFrame([("small", 16, 10), ("large", 110, 10)], "model_name string, window_tokens int, root_split_offset int")
+    out = evaluate(df, Settings(budget=50, compression_ratio=1.0), RootLength, models=models)
+    got = {(r.model_name, r.sent_index): r.score for r in out["cut"].collect()}
+    assert got == pytest.approx({("small", 0): 5.5, ("small", 1): 5.5, ("small", 2): 2.5, ("small", 3): 6.5} | {("large", i): 15.5 for i in range(4)})
+    assert {r.model_name for r in out["graded"].collect()} == {"small", "large"}
+    with pytest.raises(ValueError, match="other models"):
+        evaluate(df, reuse={"cut": out["cut"]})
+
+
+def test_attention_pipeline_keeps_the_models_apart(spark, small):
+    from longspan.plans import reference_queries as r
+
+    got = r.attention_pipeline(spark, small)
+    assert got.count() == got.select(*r.MODEL_KEY).distinct().count() == 3 * got.select(*r.KEY).distinct().count() > 0
+
+
 @pytest.mark.parametrize("name", ["qa_f1_multi_truth", "root_windows", "retrieve_ratio_budget", "stream_grades", "attention_pipeline", "align_success"])
 def test_queries_run(spark, small, name):
     import __spark_entry__ as e
