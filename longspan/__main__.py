@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_csv(means, f"{args.out}/alignment_report.csv")
     elif args.command == "evaluate":
         corpus = lookup.select_questions(table(spark, args.data, "corpus"), args.q_index, args.questions)
-        out = pipeline.evaluate(corpus, pipeline.Settings(budget=args.budget, compression_ratio=args.ratio, deferred=args.deferred), models=table(spark, args.data, "models"))
+        out = pipeline.evaluate(corpus, pipeline.Settings(budget=args.budget, compression_ratio=args.ratio, deferred=args.deferred), models=table(spark, args.data, "models"), datasets=table(spark, args.data, "datasets", "ds_name", "max_gen_len"))
         for name, df in out.items():
             sinks.write_stage(df, args.out, name)
         if args.deferred:

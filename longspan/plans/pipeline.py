@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from longspan.operators.generate import ExtractiveGenerator, Generator, generate
 from longspan.operators.grade import grade
 from longspan.operators.lookup import require_parts
 from longspan.operators.pack import with_roots
-from longspan.operators.prompt import DEFAULT_TEMPLATE, augment, deferred_requests
+from longspan.operators.prompt import DEFAULT_TEMPLATE, deferred_requests, fill_by_dataset
 from longspan.operators.react import LexicalProvider, Provider, attend_windows
 from longspan.operators.retrieve import compression, merge_adjacent, rank_and_cut, score_slices
 from longspan.sources.tables import materialise
@@ -25,7 +25,10 @@ KEY = ["ds_name", "q_index"]
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of a run. ``compression_ratio=None`` retrieves up to the budget alone."""
+    """Parameters of a run. ``compression_ratio=None`` retrieves up to the budget alone.
+
+    ``max_gen_len`` and ``template`` are for datasets that the datasets table and ``templates`` do not name.
+    """
 
     budget: int = 200
     compression_ratio: float | None = 1.2
@@ -34,6 +37,7 @@ class Settings:
     merge: bool = True
     max_gen_len: int = 32
     template: str = DEFAULT_TEMPLATE
+    templates: dict[str, str] = field(default_factory=dict, hash=False)
     concat_str: str = "\n"
     deferred: bool = False
 
@@ -65,6 +69,7 @@ def evaluate(
     make_generator: Callable[[], Generator] = ExtractiveGenerator,
     reuse: dict[str, DataFrame | None] | None = None,
     models: DataFrame | None = None,
+    datasets: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tables of all stages. The spans and the generations are written once and read by what follows, so a lost executor repeats no model call.
 
@@ -72,6 +77,7 @@ def evaluate(
     ``reuse`` gives tables of earlier runs for the stages ``spans``, ``cut`` or ``generated``, which are then not computed.
     With ``models`` (``model_name, window_tokens, root_split_offset``) sentences are packed into the root windows of each model, each root is attended to by
     itself, and all tables but the spans have a row for each model; without, there is no window to keep to and a context is one root.
+    ``datasets`` (``ds_name, max_gen_len``) limits the answers of each dataset.
     """
     reuse = reuse or {}
     for stage, earlier in reuse.items():
@@ -99,7 +105,12 @@ def evaluate(
     retrieved = compression(cut, key).join(retrieved, key, "left")
     require_parts(retrieved, ["ntokens", "retrieved_ntokens", "compression_rate", "cleaned_strlist"])
     asked = corpus.select(*KEY, "input", "answers").join(retrieved, KEY)
-    prompts = asked.withColumn("prompt", augment(F.coalesce("cleaned_strlist", F.array().cast("array<string>")), F.coalesce("input", F.lit("")), settings.template, settings.concat_str)).withColumn("max_gen_len", F.lit(settings.max_gen_len))
+    limit = F.lit(settings.max_gen_len)
+    if datasets is not None:
+        limits = datasets.groupBy("ds_name").agg(F.max("max_gen_len").alias("_limit"))
+        asked, limit = asked.join(F.broadcast(limits), "ds_name", "left"), F.coalesce("_limit", limit)
+    filled = fill_by_dataset(asked, settings.templates, default=settings.template, context=F.array_join("cleaned_strlist", settings.concat_str), input=F.coalesce("input", F.lit("")))
+    prompts = asked.withColumn("prompt", F.when(F.size("cleaned_strlist") > 0, filled)).withColumn("max_gen_len", limit).drop("_limit")
     made = reuse.get("generated")
     if made is None:
         made = deferred_requests(prompts.select(*key, "prompt")).drop("prompt") if settings.deferred else materialise(generate(prompts, key, make_generator), "generated")

@@ -356,9 +356,9 @@ def align_fixed_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attention_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All stages from corpus to score with the offline providers, in the root windows of each model."""
+    """All stages from corpus to score with the offline providers, in the root windows of each model and to the answer length of each dataset."""
     corpus = table(spark, d, "corpus", *KEY, "input", "context", "answers").where("context is not null")
-    out = pipeline.evaluate(corpus, models=table(spark, d, "models", "model_name", "window_tokens", "root_split_offset"))
+    out = pipeline.evaluate(corpus, models=table(spark, d, "models", "model_name", "window_tokens", "root_split_offset"), datasets=table(spark, d, "datasets", "ds_name", "max_gen_len"))
     return out["graded"].select(*MODEL_KEY, "purely_generated_str", "purely_generated_ntokens", F.round("score", 6).alias("score"))
 
 

@@ -53,6 +53,19 @@ def test_pipeline_packs_into_the_windows_of_each_model(spark):
         evaluate(df, reuse={"cut": out["cut"]})
 
 
+def test_pipeline_limits_and_fills_by_dataset(spark):
+    from longspan.plans.pipeline import Settings, evaluate
+
+    words = " ".join(f"w{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(d, 0, "w1", words, [words]) for d in ("long", "short", "unknown")], "ds_name string, q_index int, input string, context string, answers array<string>")
+    datasets = spark.createDataFrame([("long", 128), ("short", 5), ("empty", None)], "ds_name string, max_gen_len int")
+    out = evaluate(df, Settings(compression_ratio=1.0, max_gen_len=7, templates={"short": "{context}|{input}"}), datasets=datasets)
+    # the default template puts "Text:" before the 60 words
+    assert {r.ds_name: r.purely_generated_ntokens for r in out["generated"].collect()} == {"long": 61, "short": 5, "unknown": 7}
+    prompts = {r.ds_name: r.prompt for r in out["prompts"].collect()}
+    assert prompts["short"] == f"{words}|w1" and prompts["long"] == prompts["unknown"] and prompts["long"].startswith("Read the text")
+
+
 def test_attention_pipeline_keeps_the_models_apart(spark, small):
     from longspan.plans import reference_queries as r
 
