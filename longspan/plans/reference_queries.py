@@ -250,14 +250,23 @@ def token_bag(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select(F.explode(text.normalized_tokens("generated")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def edit_distance_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of each answer to its first truth, other than ASCII characters taken alike."""
-    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\x00-\x7F]", "?")
-    rows = pairs(spark, d, "ds_name").select("ds_name", F.levenshtein(plain(F.get("truth", F.lit(0))), plain(F.col("generated"))).alias("dist"))
+def edit_distances(spark: SparkSession, d: str, plain: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    texts = [plain(F.coalesce(c, F.lit(""))) for c in (F.get("truth", F.lit(0)), F.col("generated"))]
+    rows = pairs(spark, d, "ds_name").select("ds_name", F.levenshtein(*texts).alias("dist"))
     out = rows.groupBy("ds_name").agg(F.avg("dist").alias("mean_dist"), F.coalesce(F.sum("dist") / F.nullif(F.count(F.when(F.col("dist") > 0, 1)), F.lit(0)), F.lit(0.0)).alias("non_zero_mean_dist"))
     return out.select("ds_name", r6("mean_dist"), r6("non_zero_mean_dist"))
 
 
+def edit_distance_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance of each answer to its first truth, other than ASCII characters taken alike as in its SQL; ``edit_distance_exact`` compares the texts themselves."""
+    return edit_distances(spark, d, lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?"))
+
+
+def edit_distance_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance of each answer to its first truth in code points, in every script. No SQL: DuckDB's function counts bytes."""
+    return edit_distances(spark, d)
+
+
 def evidence_recall(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "corpus", *KEY, "context", "answers").where("answers is not null").distinct()
     return grade.evidence_recall(rows, "context", "answers").select(*KEY, r6("recall"))
@@ -378,7 +387,7 @@ def stream_grades(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = (
     "token_count_by_dataset token_count_describe token_count_describe_by_dataset sentence_split_stats record_ids sentence_intervals quantize_enclosing quantize_naive root_windows dag_edges dag_nodes offset_checks "
     "reaction_vector reaction_scores reaction_rank_cdf group_gmean retrieve_ratio_budget retrieve_max_budget compression_rate merge_adjacent top_sentence retrieve_by_cosine prompt_fill chat_wrap deferred_requests "
-    "normalize_answer qa_f1 qa_f1_multi_truth best_of_generations score_pivot macro_mean_by_class mean_transpose token_bag edit_distance_quality evidence_recall alignment_report alignment_pivot metric_melt_pivot "
+    "normalize_answer qa_f1 qa_f1_multi_truth best_of_generations score_pivot macro_mean_by_class mean_transpose token_bag edit_distance_quality edit_distance_exact evidence_recall alignment_report alignment_pivot metric_melt_pivot "
     "global_means success_rates elapsed_describe throughput_report token_count_report dataset_classes pending_questions done_questions target_join align_success align_fixed_pieces attention_pipeline stream_grades"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES.split()}

@@ -81,6 +81,26 @@ def test_queries_run(spark, small, name):
     assert df.where(F.lit(True)).count() > 0
 
 
+def test_edit_distances_in_every_script(spark, tmp_path):
+    import __spark_entry__ as e
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = [("zh", "北京大学", ["南京大厦"]), ("zh", "北京", ["北京"]), ("ru", "да", ["нет", "да"]), ("ar", "نعم", ["لا"]), ("fr", "été", ["ete"]), ("fr", "e\u0301", ["é"]), ("emoji", "😀a", ["😁a"]), ("en", "cat", ["cart"]), ("en", None, ["ab"]), ("en", "x", None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "gen_id bigint, ds_name string, generated string, truth array<string>").write.parquet(f"{tmp_path}/generations.parquet")
+    want = {}
+    for ds, g, t in rows:
+        want.setdefault(ds, []).append(brute((t or [""])[0], g or ""))
+    got = {r.ds_name: (r.mean_dist, r.non_zero_mean_dist) for r in e.queries()["edit_distance_exact"](spark, str(tmp_path)).collect()}
+    assert got == {ds: pytest.approx((sum(x) / len(x), sum(x) / sum(d > 0 for d in x)), abs=1e-6) for ds, x in want.items()}
+
+
 def test_stream_matches_batch(spark, small):
     from longspan.plans import reference_queries as r
 
