@@ -211,6 +211,17 @@ def test_training_learns_abbreviations(spark):
     assert sentences.sentence_units(corpus.limit(0), sentences.train_sentences(corpus.limit(0), t.limit(0))).count() == 0
 
 
+def test_labels_are_found_again_after_a_loss():
+    lost = "x" * 900 + "."
+    flat = "Itrained." + lost + "Shecame.Heleft." + lost + "Itsnowed."
+    placed = lambda *labels: [flat[a:b] for a, b in sentences.place_labels(flat, list(labels))]
+    assert placed("Itrained.", "Shecame.", "Heleft.", "Itsnowed.") == ["Itrained.", "Shecame.", "Heleft.", "Itsnowed."]
+    assert placed("Itrained.", "altered", "Shecame.", "Itsnowed.") == ["Itrained.", "Shecame.", "Itsnowed."]
+    # a label altered where it lies isn't taken from far behind, or the ones between would be lost
+    flat = "Yes.Itrained.Shecame." + lost + "No."
+    assert placed("Yes.", "No.", "Itrained.", "Shecame.") == ["Yes.", "Itrained.", "Shecame."]
+
+
 # ---- 7 encoding --------------------------------------------------------------------------------------------
 
 
