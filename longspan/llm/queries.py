@@ -21,9 +21,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every context in pieces of at most 256 tokens of the public vocabulary, neighbours sharing 32."""
-    corpus = table(spark, d, "corpus", "ds_name", "q_index", "context").distinct()
-    return split.split_texts(corpus, ["ds_name", "q_index"], "context", 256, 32)
+    """Every context in pieces of at most 256 tokens of the public vocabulary, neighbours sharing 32, cut at the units of ``p6_found``."""
+    corpus = table(spark, d, "corpus", "ds_name", "q_index", "context")
+    model = sentences.train_sentences(spread(corpus), table(spark, d, "target_sentences"))
+    return split.split_texts(corpus.distinct(), ["ds_name", "q_index"], "context", 256, 32, model=model)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -73,6 +73,17 @@ def test_split_texts(spark):
     assert split.split_texts(df.limit(0), ["id"], "context", 8, 2).count() == 0
 
 
+@needs_vocab
+def test_texts_are_cut_at_learnt_units(spark, tmp_path):
+    from longspan.llm import queries
+
+    label = "They all met Bo."  # untrained, a short name before a full stop ends no unit
+    spark.createDataFrame([("a", i, " ".join([label] * 200)) for i in range(3)], "ds_name string, q_index int, context string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([("a", i, [label] * 200) for i in range(3)], "ds_name string, q_index int, target_sentences array<string>").write.parquet(f"{tmp_path}/target_sentences.parquet")
+    got = queries.p1_texts(spark, str(tmp_path)).collect()
+    assert len(got) > 9 and not any(r.hard_right for r in got) and all(r.text.strip().endswith("Bo.") for r in got)
+
+
 # ---- 2 pairs -----------------------------------------------------------------------------------------------
 
 Q = "Who opened the wooden door before noon?"
