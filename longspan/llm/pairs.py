@@ -22,7 +22,7 @@ from longspan.sources.tables import materialise
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 #: Share of the question's words that an answer must copy in order to be the question again.
 COPIED = 0.85
-#: A last word of more characters than this is never taken for the beginning of another.
+#: Beginnings of up to so many characters are listed; longer ones are found by as much of them and then compared whole.
 MAX_WORD = 100
 
 #: Phrases that decline an answer, in lower case without punctuation.
@@ -286,13 +286,16 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
 
     judged = materialise(src.mapInArrow(run, f"gen_id {kind}, defect string"), "judged")
     sure = judged.where(~F.col("defect").startswith("broken:"))
-    open_ = judged.where(F.col("defect").startswith("broken:")).select("gen_id", F.substring("defect", 8, MAX_WORD + 1).alias("word")).distinct()
+    open_ = judged.where(F.col("defect").startswith("broken:")).select("gen_id", F.expr("substring(defect, 8)").alias("word")).distinct()
     said = src.select(F.explode(F.array_append(F.coalesce("truth", F.array()), F.col("query"))).alias("s")).where("s is not null").distinct()
     words = said.select(F.explode(F.expr("regexp_extract_all(lower(s), '[\\\\p{L}\\\\p{M}\\\\p{N}]+', 0)")).alias("w")).distinct()
-    # no word of the vocabulary, but the beginning of one: each word gives its beginnings, up to the longest that is asked for
+    # no word of the vocabulary, but the beginning of one: each word gives its beginnings up to MAX_WORD, the few longer words are compared with each other
     longest = F.least(F.length("w") - 1, F.lit(MAX_WORD))
     begun = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), longest), lambda n: F.substring("w", F.lit(1), n))).alias("word"))
     asked = open_.select("word").distinct().join(words, F.col("word") == F.col("w"), "left_anti")
-    broken = asked.join(begun, "word", "left_semi")
+    long = asked.where(F.length("word") > MAX_WORD)
+    same = F.substring("word", 1, MAX_WORD) == F.substring("w", 1, MAX_WORD)
+    further = words.where(F.length("w") > MAX_WORD)
+    broken = asked.where(F.length("word") <= MAX_WORD).join(begun, "word", "left_semi").unionByName(long.join(further, same & (F.length("w") > F.length("word")) & F.col("w").startswith(F.col("word")), "left_semi"))
     late = open_.join(broken, "word", "left_semi").select("gen_id", F.lit("truncated").alias("defect"))
     return sure.unionByName(late).groupBy("gen_id").agg(F.min("defect").alias("defect"))

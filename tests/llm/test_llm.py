@@ -118,6 +118,14 @@ def test_suffix_automaton(text, other):
     assert pairs.SuffixAutomaton(text).runs(other) == want
 
 
+def test_long_words_break_off_too(spark):
+    word = "".join(chr(97 + i * i % 23) for i in range(150))
+    q = f"Who wrote {word} before noon?"
+    rows = [(1, q, f"it was {word[:130]}", ["Ann"]), (2, q, f"it was {word}", ["Ann"]), (3, q, f"it was {word[:100]}{'z' * 30}", ["Ann"]), (4, q, f"it was {word[:60]}", ["Ann"]), (5, q, f"it was {word[:100]}", ["Ann"]), (6, q, f"it was {word[:101]}", ["Ann"])]
+    got = pairs.judge_pairs(spark.createDataFrame(rows, "gen_id bigint, query string, generated string, truth array<string>")).collect()
+    assert {(r.gen_id, r.defect) for r in got} == {(i, "truncated") for i in (1, 4, 5, 6)}
+
+
 # ---- 4 repetition ------------------------------------------------------------------------------------------
 
 
