@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def record_id(ds_name: str = "ds_name", q_index: str = "q_index") -> Column:
@@ -44,6 +45,13 @@ def unique_lookup(rows: DataFrame, table: DataFrame, key: list[str], value: str)
     return rows.join(one.withColumn(value, F.when(F.col("_n") == 0, F.col(value))).drop("_n"), key, "left")
 
 
+def for_each(rows: DataFrame, dimension: DataFrame, name: str) -> DataFrame:
+    """Each row once for every distinct value of a column of a dimension table, which is a fixed list (models, datasets): an explode where the rows lie. Null values count nothing."""
+    values = sorted(r[0] for r in dimension.select(name).where(F.col(name).isNotNull()).distinct().collect())
+    kind = dimension.schema[name].dataType
+    return rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values]) if values else F.array().cast(T.ArrayType(kind))))
+
+
 def duplicates(offsets: Column) -> Column:
     return F.size(offsets) != F.size(F.array_distinct(offsets))
 
