@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.llm.encode import TOKENIZERS, Pieces, cut_table, load_ranks, pieces_of, text_slices
+from longspan.operators.lookup import for_each
+from longspan.sources.tables import materialise
 
 #: Primary subtag of a language tag in lower case; what is no tag at all (or undetermined) becomes null.
 LANG_TAG = r"^([a-z]{2,3})(?:[-_].*)?$"
+OUTER_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def clean_lang(col: str) -> Column:
@@ -69,48 +72,56 @@ def document_budget(docs: DataFrame, by: list[str], text_col: str = "text", **to
     )
 
 
-def usable_counts(corpus: DataFrame, token_counts: DataFrame, models: DataFrame) -> DataFrame:
-    """``(ds_name, q_index, model_name, ntokens)`` of every corpus row with a non-blank context and every model; null where no count is usable.
+def corpus_texts(corpus: DataFrame, **tokenizer: str) -> DataFrame:
+    """``(ds_name, q_index, lang, most, n)``: language, UTF-8 bytes and exact tokens of the context of each key; none for null and blank contexts.
+
+    Repeated rows count once; of differing contexts of one key the longest stands, ties by its hashes. Each distinct context is tokenized
+    once and its count joined back by its hashes; the rows of a text copied into many keys are numbers by then, and split by the
+    skew handling of the join.
+    """
+    said = corpus.select("ds_name", "q_index", "lang", "context").where(F.rlike("context", F.lit(r"[^\s\p{Z}\x{FEFF}\x{200B}]")) & F.col("ds_name").isNotNull() & F.col("q_index").isNotNull())
+    own = said.select("ds_name", "q_index", F.struct(F.octet_length("context").alias("most"), F.xxhash64("context").alias("h1"), F.xxhash64(F.lit(7), "context").alias("h2"), clean_lang("lang").alias("lang")).alias("r"))
+    own = own.groupBy("ds_name", "q_index").agg(F.max("r").alias("r")).select("ds_name", "q_index", "r.*")
+    return own.join(distinct_counts(said, "context", **tokenizer), ["h1", "h2"]).select("ds_name", "q_index", "lang", "most", "n")
+
+
+def usable_counts(texts: DataFrame, token_counts: DataFrame, models: DataFrame) -> DataFrame:
+    """The rows of ``corpus_texts`` for every model, with ``model_name`` and ``ntokens``, which is null where no count is usable.
 
     ``ds_name`` is compared without case and outer blanks and returned as in the corpus. A count is usable if it is positive and not above the
     UTF-8 bytes of the context. Of several usable counts of one key the latest loaded stands, ties by the
-    larger. Repeated corpus rows count once; of differing contexts of one key the longest sets the limit. The
-    models are a dimension table; the corpus is multiplied by it, not joined pair by pair.
+    larger. The models are a fixed dimension table: each row is exploded over their names, not joined pair by pair. The join by (dataset, question, model) and the
+    sum after it share one shuffle; a key counted again and again is one row before the join.
     """
-    blank = F.regexp_replace("context", r"[\s\p{Z}\x{FEFF}\x{200B}]+", "") == ""
-    rows = corpus.where(F.col("context").isNotNull() & ~blank & F.col("ds_name").isNotNull() & F.col("q_index").isNotNull())
-    rows = rows.groupBy("ds_name", "q_index").agg(F.max(F.octet_length("context")).alias("most"))
-    names = [r[0] for r in models.select("model_name").where("model_name is not null").distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("models is no dimension table: more than 10,000 names")
-    wanted = rows.select("*", F.explode(F.array(*[F.lit(m) for m in sorted(names)]) if names else F.expr("cast(array() as array<string>)")).alias("model_name"))
-    wanted = wanted.withColumn("ds", F.lower(F.trim("ds_name")))
+    wanted = for_each(texts, models, "model_name").withColumn("ds", F.lower(F.regexp_replace("ds_name", OUTER_BLANKS, "")))
     counts = token_counts.where("ntokens > 0").select(
-        F.lower(F.regexp_replace("ds_name", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("ds"), F.col("q_index").alias("q"), F.col("model_name").alias("m"), "ntokens", "loaded_at"
+        F.lower(F.regexp_replace("ds_name", OUTER_BLANKS, "")).alias("ds"), "q_index", "model_name", "ntokens", "loaded_at"
     )
-    counts = counts.groupBy("ds", "q", "m", "ntokens").agg(F.max("loaded_at").alias("loaded_at"))  # a key counted again and again is one row before the join
-    joined = wanted.join(counts, (wanted.ds == counts.ds) & (wanted.q_index == counts.q) & (wanted.model_name == counts.m) & (counts.ntokens <= wanted.most), "left")
-    last = F.max(F.struct("loaded_at", "ntokens"))
-    return joined.groupBy("ds_name", "q_index", "model_name").agg(last["ntokens"].alias("ntokens"))
+    counts = counts.groupBy("ds", "q_index", "model_name", "ntokens").agg(F.max("loaded_at").alias("loaded_at"))
+    same = [wanted[c] == counts[c] for c in ("ds", "q_index", "model_name")]
+    joined = wanted.join(counts, same[0] & same[1] & same[2] & (counts.ntokens <= wanted.most), "left")
+    keep = ["ds_name", "lang", "most", "n"]
+    last = F.max(F.when(counts.ntokens.isNotNull(), F.struct(counts.loaded_at, counts.ntokens)))
+    out = joined.groupBy(wanted.ds, wanted.q_index, wanted.model_name, *[wanted[c] for c in keep]).agg(last["ntokens"].alias("ntokens"))
+    return out.select("ds_name", "q_index", "model_name", "lang", "most", "n", "ntokens")
 
 
 def corpus_token_counts(corpus: DataFrame, token_counts: DataFrame, models: DataFrame, **tokenizer: str) -> DataFrame:
-    """``usable_counts`` with ``estimated`` and every gap filled.
+    """``(ds_name, q_index, model_name, lang, ntokens, estimated)`` of every corpus row with a non-blank context and every model.
 
-    The estimate is the exact count of the context by the public tokenizer, times the ratio of all usable counts
+    A usable count stands; a gap is filled by the exact count of the context by the public tokenizer, times the ratio of all usable counts
     of that model and language to the public counts of the same texts (that of the model where a language has
-    none, 1 where the model has none). Each distinct context is tokenized once.
+    none, 1 where the model has none). The counts are written once to the shared folder: the ratios are summed from them and, as they are only models
+    times languages, broadcast to them, so that no row moves to a task of its model.
     """
-    usable = usable_counts(corpus, token_counts, models)
-    own = corpus.where("context is not null and ds_name is not null and q_index is not null").select("ds_name", "q_index", clean_lang("lang").alias("lang"), F.xxhash64("context").alias("h1"), F.xxhash64(F.lit(7), "context").alias("h2"))
-    own = own.groupBy("ds_name", "q_index").agg(F.max_by(F.struct("lang", "h1", "h2"), F.struct("h1", "h2", "lang")).alias("r")).select("ds_name", "q_index", "r.*")
-    exact = own.join(distinct_counts(corpus, "context", **tokenizer), ["h1", "h2"]).select("ds_name", "q_index", "lang", "n")
-    rows = usable.join(exact, ["ds_name", "q_index"])
+    rows = materialise(usable_counts(corpus_texts(corpus, **tokenizer), token_counts, models), "counted")
     by_lang = rows.where("ntokens is not null and n > 0").groupBy("model_name", "lang").agg(F.sum("ntokens").alias("a"), F.sum("n").alias("b"))
-    by_model = by_lang.groupBy("model_name").agg((F.sum("a") / F.sum("b")).alias("model_ratio"))
-    ratios = by_lang.join(by_model, "model_name").select(F.col("model_name").alias("m"), F.col("lang").alias("l"), (F.col("a") / F.col("b")).alias("ratio"))
-    filled = rows.join(ratios, (rows.model_name == ratios.m) & rows.lang.eqNullSafe(ratios.l), "left").join(by_model, "model_name", "left")
-    estimate = F.greatest(F.lit(1), F.round(F.col("n") * F.coalesce("ratio", "model_ratio", F.lit(1.0)))).cast("int")
+    ratios = by_lang.groupBy("model_name").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.coalesce("lang", F.lit("")), F.col("a") / F.col("b")))).alias("ratios"), (F.sum("a") / F.sum("b")).alias("ratio")
+    )
+    filled = rows.join(F.broadcast(ratios), "model_name", "left")
+    ratio = F.coalesce(F.try_element_at("ratios", F.coalesce("lang", F.lit(""))), "ratio", F.lit(1.0))
+    estimate = F.greatest(F.lit(1), F.round(F.col("n") * ratio)).cast("int")
     return filled.select("ds_name", "q_index", "model_name", "lang", F.coalesce("ntokens", estimate).alias("ntokens"), F.col("ntokens").isNull().alias("estimated"))
 
 

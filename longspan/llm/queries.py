@@ -44,7 +44,7 @@ def counted_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return counted_corpus(spark, d).where("estimated and ntokens > 0").select("ds_name", "q_index", "model_name")
+    return counted_corpus(spark, d).where("estimated").select("ds_name", "q_index", "model_name")
 
 
 def p5_corpus(spark: SparkSession, d: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_usable_counts(spark):
     tc = [(" Qasper", 1, "m", 3, "2024-01-01"), ("qasper", 1, "m", 4, "2024-01-02"), ("qasper", 1, "n", 99, "2024-01-02"), ("musique", 3, "m", 0, "2024-01-01"), ("musique", 3, "n", None, "2024-01-01")]
     counts = spark.createDataFrame(tc, "ds_name string, q_index int, model_name string, ntokens int, loaded_at string")
     models = spark.createDataFrame([("m",), ("n",)], "model_name string")
-    got = {(r.ds_name, r.q_index, r.model_name): r.ntokens for r in budget.usable_counts(corpus, counts, models).collect()}
+    got = {(r.ds_name, r.q_index, r.model_name): r.ntokens for r in budget.usable_counts(budget.corpus_texts(corpus), counts, models).collect()}
     assert got == {("qasper", 1, "m"): 4, ("qasper", 1, "n"): None, ("musique", 3, "m"): None, ("musique", 3, "n"): None}
     full = budget.corpus_token_counts(corpus, counts, models).collect()
     assert len(full) == 4 and all(r.ntokens > 0 for r in full) and sum(r.estimated for r in full) == 3
