@@ -1,8 +1,8 @@
 """Defects of question and answer pairs.
 
 An answer is judged against its question: a suffix automaton of the question's words measures how much of the
-answer is copied from it, an automaton of refusal phrases finds answers that give none, stacks of delimiters
-and the last word tell a text that breaks off, and votes of function words (or the script) tell an answer in
+answer is copied from it, an automaton of refusal phrases finds answers that give none, a stack of delimiters
+and the last words tell a text that breaks off, and votes of function words (or the script) tell an answer in
 another language.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.llm.text import HAN, KANA, STOP_SETS, UNIT_RE, script_of, votes
+from longspan.llm.text import HAN, KANA, STOP_SETS, THAI, UNIT_RE, script_of, votes
 from longspan.sources.tables import materialise
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
@@ -24,6 +24,8 @@ DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 COPIED = 0.85
 #: Beginnings of up to so many characters are listed; longer ones are found by as much of them and then compared whole.
 MAX_WORD = 100
+#: A last word is the beginning of others, and no word itself, if it occurs less than once for so many occurrences of the words that it begins.
+RARER = 200
 
 #: Phrases that decline an answer, in lower case without punctuation.
 REFUSALS = """
@@ -40,7 +42,19 @@ weiß ich nicht|weiss ich nicht|ich weiß es nicht|nicht beantworten|darf ich ni
 no lo sé|no puedo responder|imposible dar una respuesta|imposible responder|información suficiente|no es posible responder|no puedo contestar|sin respuesta|no hay respuesta|no puedo ayudar|no puedo decir|no se puede responder|no se puede determinar|me niego|no contiene la respuesta
 не знаю|не могу ответить|невозможно|недостаточно информации|нет ответа
 无法回答|不知道|没有提供|不能确定|无法确定|不能回答|没有足够|信息不足|无法得知|没有答案|未提及|没有提到|拒绝回答|无法提供|不清楚|无可奉告|不便回答
+не могу сказать|не могу помочь|не могу дать ответ|нельзя ответить|нельзя определить|не указано|не сказано|отказываюсь
+わかりません|分かりません|答えられません|お答えできません|回答できません|判断できません|情報がありません|情報が不足|書かれていません|記載されていません|記載がありません|不明です
+لا أعرف|لا أعلم|لا أدري|لا أستطيع الإجابة|لا يمكنني الإجابة|لا أستطيع أن أجيب|لا يمكن الإجابة|لا توجد معلومات|معلومات غير كافية|لا يذكر النص|لا توجد إجابة|أرفض الإجابة|لا يمكنني المساعدة
+मुझे नहीं पता|मुझे नहीं मालूम|पता नहीं|उत्तर नहीं दे सकता|उत्तर नहीं दे सकती|जवाब नहीं दे सकता|जवाब नहीं दे सकती|उत्तर नहीं दिया जा सकता|जानकारी नहीं है|पर्याप्त जानकारी|मदद नहीं कर सकता|कोई उत्तर नहीं
+ไม่ทราบ|ไม่รู้|ไม่สามารถตอบ|ตอบไม่ได้|ไม่มีข้อมูล|ข้อมูลไม่เพียงพอ|ไม่ได้ระบุ|ไม่มีคำตอบ|ขอปฏิเสธ|ช่วยไม่ได้
+모르겠습니다|알 수 없습니다|대답할 수 없습니다|답할 수 없습니다|답변할 수 없습니다|정보가 없습니다|정보가 부족|도와드릴 수 없습니다
+não sei|não posso responder|não é possível responder|impossível responder|sem resposta|informação suficiente|informações suficientes|não posso ajudar|recuso me a
+non lo so|non posso rispondere|impossibile rispondere|non è possibile rispondere|informazioni sufficienti|nessuna risposta|non posso aiutare|mi rifiuto
+weet ik niet|kan ik niet beantwoorden|niet te beantwoorden|niet genoeg informatie|onvoldoende informatie|geen antwoord|kan ik niet zeggen|niet helpen
 """
+#: What a speaker denies (English, first person) and of what: each pair is a phrase beside those above.
+DENIALS = ("i cannot", "i can not", "i can t", "i could not", "i couldn t", "i will not", "i won t", "i would not", "i am unable to", "i m unable to", "i am not able to", "i m not able to", "we cannot", "we can not", "we can t", "we will not")
+DENIED = ("answer", "reply", "respond", "say", "tell", "help", "give", "provide", "determine", "know", "comment", "discuss", "share", "assist", "reveal", "disclose", "infer", "judge")
 #: Words that may stand around a copied question: labels, not answers.
 LABELS = frozenset(
     "question q query answer a you asked ask the is was i of my your asks reads here says prompt user respuesta pregunta la es frage die war lautet antwort vous demandez réponse la est était il se demande el fue preguntas usted preguntó sie fragten du fragst вопрос ответ 问 题 答 案 你 您 的 是 回 提".split()
@@ -52,15 +66,21 @@ OPEN_WORDS = frozenset(
     "der die das den dem des ein eine einen einem einer und oder zu im am auf bei mit von vom für ist dass weil denn aber ohne gegen durch um nach unter hinter "
     "el los las una unos unas del y o al sobre bajo con sin por para es que porque pero tras hacia cada".split()
 ) - {"one", "it's", "her", "his", "this", "that", "these", "those", "is", "was", "are", "be", "es", "est", "ist", "before", "after", "on", "in", "under", "by", "past", "above", "behind", "beyond", "at", "around", "que", "o", "y", "l", "d"}
+#: Words that open a clause, after which an auxiliary or a second conjunction still leaves it open ("which was", "parce que").
+CLAUSE_WORDS = frozenset("which who whom whose that because although while whenever until if where when than parce tandis puisque lorsque afin pendant alors welche welcher welches weil obwohl während aunque mientras porque cuyo".split())
+AUXILIARIES = frozenset("is was are were be been has had have will would can could may might must shall should did does do que est était sont étaient a avait ist war sind waren hat hatte wird es era son eran ha había".split())
 _OPEN_TAIL = re.compile(r"(?:[,;:(\[{«„“‘（「『《，、；：\-–—/&]|\b(?:this|that|one|every|another)|因为|但是|而且|以及|和|的|他|她|与|或|在|把|被)$")
 _END = re.compile(r"[.!?。！？…।؟!?．｡]")
 _CLOSERS = "\"'”’»)]}」』）】》›*_`"
 _MARKUP = re.compile(r"</?[a-zA-Z|_][^<>]{0,30}>|\[/?(?:INST|SYS|PAD|UNK|CLS|SEP|MASK)\]|<<?/?(?:SYS|sys)>>?|<\|[^|<>]{0,40}\|>")
 _LAST_CLAUSE = re.compile(r"[.!?。！？…:：]+\s*|\n+")
 _LETTER = re.compile(r"[^\W_]")
-_PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "„": "“"}
+_PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "„": "“", '"': '"'}
+_DELIMITER = re.compile("[" + re.escape("".join({*_PAIRS, *_PAIRS.values()})) + "]")
+_SENTENCE_END = re.compile(r"[.!?。！？…।؟]\s")
 _LEAD = re.compile(r"^\s*(?:(?:question|answer|respuesta|pregunta|frage|antwort|réponse|问题|答案|回答|q|a)\s*[:：]\s*)+", re.I)
 _UNITS = re.compile(f"[{HAN}{KANA}]|[^\\W_{HAN}{KANA}]+")
+_UNSPACED = re.compile(f"[{HAN}{KANA}{THAI}]")
 
 
 class SuffixAutomaton:
@@ -117,10 +137,9 @@ class Judge:
         import ahocorasick
 
         self.refusals = ahocorasick.Automaton()
-        for p in REFUSALS.replace("\n", "|").split("|"):
-            if p.strip():
-                p = p.strip()
-                self.refusals.add_word(p if _UNITS.match(p) and re.match(f"[{HAN}]", p) else f" {p} ", True)
+        phrases = {p.strip() for p in REFUSALS.replace("\n", "|").split("|")} | {f"{a} {b}" for a in DENIALS for b in DENIED}
+        for p in sorted(phrases - {""}):
+            self.refusals.add_word(p if _UNSPACED.match(p) else f" {p} ", True)
         self.refusals.make_automaton()
         self.question = lru_cache(4096)(self._question)
 
@@ -130,9 +149,9 @@ class Judge:
         return q, SuffixAutomaton(q), self_language(query)
 
     def refuses(self, text: str) -> bool:
-        flat = " " + " ".join(UNIT_RE.sub(lambda m: m[0], text.lower().replace("’", " ").replace("'", " ")).translate(_PUNCT).split()) + " "
-        if re.search(f"[{HAN}]", text):
-            flat = flat.replace(" ", "") if not re.search("[a-z]{3}", flat) else flat
+        flat = " " + " ".join(text.lower().translate(_PUNCT).split()) + " "
+        if _UNSPACED.search(flat) and not re.search("[a-z]{3}", flat):
+            flat = flat.replace(" ", "")
         return next(self.refusals.iter(flat), None) is not None
 
     def copied(self, query: str, answer: str) -> bool:
@@ -188,36 +207,42 @@ class Judge:
     @staticmethod
     def breaks_off(body: str, a: list[str], truths: list[str], whole: list[str]) -> str | None:
         tail = body.rstrip(_CLOSERS + " \t\r\n")
-        opened, quoted = unclosed(body)
-        if tail and _END.match(tail[-1]) and not opened:
-            return None
+        opened = unclosed(body)
         if tail and _END.match(tail[-1]):
-            return None if not body.endswith(("(", "[")) else "truncated"
-        if _OPEN_TAIL.search(body) and not body[-1:] in _CLOSERS:
+            # the last sentence is whole, unless it opened something that it never closed
+            return "truncated" if opened is not None and not _SENTENCE_END.search(tail, opened, len(tail) - 1) else None
+        if opened is not None or (_OPEN_TAIL.search(body) and body[-1:] not in _CLOSERS):
             return "truncated"
         last = a[-1]
         if body[-1:] in _CLOSERS:
-            return "truncated" if opened else None
+            return None
         if cut_truth(body, truths) and f" {last} " not in " ".join(whole):
             return "truncated"
-        if last in OPEN_WORDS and len(a) > 1 and f" {last} " not in [w[-len(last) - 2 :] for w in whole]:
+        if len(a) > 1 and (last in OPEN_WORDS or open_clause(a)) and f" {last} " not in [w[-len(last) - 2 :] for w in whole]:
             return "truncated"
         if len(a) < 2 or " " + " ".join(units(_LAST_CLAUSE.split(body)[-1])) + " " in whole:
             return None
-        sentences = re.search(r"[^\W_][.!?。！？…।؟]", body)
         lines = [x.strip() for x in body.split("\n") if x.strip()]
         if len(lines) > 1:
             if len(lines) > 2 and lines[-1] != lines[-2] and lines[-2].startswith(lines[-1]):
                 return "truncated"
             if lines[-1] in lines[:-1]:
                 return None
-        if sentences or opened:
+        if re.search(r"[^\W_][.!?。！？…।؟]", body):
             return "truncated"
         if a.count(last) == 1 and any(w.startswith(last) and a.count(w) > 1 for w in set(a[:-1])):
             return "truncated"
         return None if re.match(f"[{HAN}{KANA}]", last) else f"broken:{last}"
 
 
+def open_clause(words: list[str]) -> bool:
+    """The words end with one that opens a clause and nothing but auxiliaries after it."""
+    k = len(words)
+    while k and words[k - 1] in AUXILIARIES:
+        k -= 1
+    return 0 < k < len(words) and words[k - 1] in CLAUSE_WORDS
+
+
 def cut_truth(body: str, truths: list[str]) -> bool:
     """The text ends with the beginning of a truth, broken off inside a word."""
     low = " ".join(body.lower().split())
@@ -231,18 +256,19 @@ def cut_truth(body: str, truths: list[str]) -> bool:
     return False
 
 
-_PUNCT = {ord(c): " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~。，、；：？！…“”«»„‘（）《》「」『』—–¿¡"}
+_PUNCT = {ord(c): " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~。，、；：？！…“”«»„‘’（）《》「」『』—–¿¡؟،؛।"}
 
 
-def unclosed(text: str) -> tuple[bool, bool]:
-    """A stack of brackets and paired quotes: is one left open; is a straight quote?"""
-    stack: list[str] = []
-    for c in text:
-        if stack and c == stack[-1]:
+def unclosed(text: str) -> int | None:
+    """Where the innermost bracket or quote that is left open stands, by a stack; a straight quote closes one that is open and else opens."""
+    stack: list[tuple[str, int]] = []
+    for m in _DELIMITER.finditer(text):
+        c = m[0]
+        if stack and c == stack[-1][0]:
             stack.pop()
         elif c in _PAIRS:
-            stack.append(_PAIRS[c])
-    return bool(stack), text.count('"') % 2 == 1
+            stack.append((_PAIRS[c], m.end()))
+    return stack[-1][1] if stack else None
 
 
 def self_language(text: str) -> str | None:
@@ -270,9 +296,11 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
     Takes ``gen_id, query, generated, truth``; nulls in any column are allowed. A null, blank or markup-only
     answer is ``empty``; without a question nothing is copied and no language compared; a null gen_id makes no
     row; repeated rows count once (should contents differ under one id, the first type in alphabetical order
-    stands). A short answer without an end mark is held against the corpus's own vocabulary of questions and
-    truths: it breaks off if its last word is none of theirs but begins one of them. Only such last words
-    are shuffled, each distinct word once. The verdicts are written once to the shared folder, since both steps read them.
+    stands). A short answer without an end mark is held against the words of all questions and
+    truths: it breaks off if its last word begins others and is itself ``RARER`` times rarer than those. Both counts grow
+    with the corpus alike, so the verdict does not change with its size, and a fragment that slipped into a truth is no word.
+    Only words with their counts are shuffled, summed in each task first. The verdicts and the counts are written once to the shared folder, since
+    several steps read them; a hot last word is split by the skew handling of the join.
     """
     src = pairs.select("gen_id", "query", "generated", "truth").where("gen_id is not null")
     kind = src.schema["gen_id"].dataType.simpleString()
@@ -287,15 +315,16 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
     judged = materialise(src.mapInArrow(run, f"gen_id {kind}, defect string"), "judged")
     sure = judged.where(~F.col("defect").startswith("broken:"))
     open_ = judged.where(F.col("defect").startswith("broken:")).select("gen_id", F.expr("substring(defect, 8)").alias("word")).distinct()
-    said = src.select(F.explode(F.array_append(F.coalesce("truth", F.array()), F.col("query"))).alias("s")).where("s is not null").distinct()
-    words = said.select(F.explode(F.expr("regexp_extract_all(lower(s), '[\\\\p{L}\\\\p{M}\\\\p{N}]+', 0)")).alias("w")).distinct()
-    # no word of the vocabulary, but the beginning of one: each word gives its beginnings up to MAX_WORD, the few longer words are compared with each other
+    said = F.concat_ws(" ", F.col("query"), F.filter(F.coalesce("truth", F.array()), lambda t: t.isNotNull()))
+    words = src.select(F.explode(F.regexp_extract_all(F.lower(said), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = materialise(words, "words")
+    asked = open_.select("word").distinct()
+    # each word gives its beginnings up to MAX_WORD; the few longer words are compared with each other
     longest = F.least(F.length("w") - 1, F.lit(MAX_WORD))
-    begun = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), longest), lambda n: F.substring("w", F.lit(1), n))).alias("word"))
-    asked = open_.select("word").distinct().join(words, F.col("word") == F.col("w"), "left_anti")
-    long = asked.where(F.length("word") > MAX_WORD)
+    begun = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), longest), lambda n: F.substring("w", F.lit(1), n))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("longer"))
     same = F.substring("word", 1, MAX_WORD) == F.substring("w", 1, MAX_WORD)
-    further = words.where(F.length("w") > MAX_WORD)
-    broken = asked.where(F.length("word") <= MAX_WORD).join(begun, "word", "left_semi").unionByName(long.join(further, same & (F.length("w") > F.length("word")) & F.col("w").startswith(F.col("word")), "left_semi"))
+    further = asked.where(F.length("word") > MAX_WORD).join(words.where(F.length("w") > MAX_WORD), same & (F.length("w") > F.length("word")) & F.col("w").startswith(F.col("word")))
+    begins = asked.where(F.length("word") <= MAX_WORD).join(begun, "word").select("word", "longer").unionByName(further.groupBy("word").agg(F.sum("n").alias("longer")))
+    broken = begins.join(words, F.col("word") == F.col("w"), "left").where(F.coalesce("n", F.lit(0)) * RARER < F.col("longer")).select("word")
     late = open_.join(broken, "word", "left_semi").select("gen_id", F.lit("truncated").alias("defect"))
     return sure.unionByName(late).groupBy("gen_id").agg(F.min("defect").alias("defect"))

@@ -20,9 +20,9 @@ UNIT_RE = re.compile(f"[{HAN}{KANA}{THAI}]|[^\\W_{HAN}{KANA}{THAI}]+(?:['’][^\
 
 #: Function words by language: they vote for the language of a text.
 STOPWORDS = {
-    "en": "the a an of and or to in on at by with from for is was were are be been that this these those it its as which who what where when why how he she they his her their not no but because before after under behind beside above near without every another one according passage answer there i you we my your do does did have has had can could would will about into past beyond against whenever while until although",
+    "en": "the a an of and or to in on at by with from for is was were are be been that this these those it its as which who what where when why how he she they his her their not no but because before after under behind beside above near without every another one according passage answer there i you we my your do does did have has had can could would will about into past beyond against whenever while until although so",
     "fr": "le la les un une des du de et ou à au aux en dans sur sous avec sans par pour est était sont que qui quoi dont où quand pourquoi comment il elle ils elles son sa ses leur leurs ne pas mais parce avant après derrière contre vers chaque ce cet cette ces plus tard peu tandis se s'agit réponse je vous nous",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder zu in im an am auf bei mit von vom für ist war sind waren dass dieser diese dieses es er sie wer was wo wann warum wie nicht kein keine aber weil denn vor nach unter hinter ohne gegen durch um jedes jeder niemand lautet gemeint ich wir ihr sich als",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder zu in im an am auf bei mit von vom für ist war sind waren dass dieser diese dieses es er sie wer was wo wann warum wie nicht kein keine aber weil denn vor nach unter hinter ohne gegen durch um jedes jeder niemand lautet gemeint ich wir ihr sich als so lange",
     "es": "el la los las un una unos unas de del y o a al en sobre bajo con sin por para es era son que quien quién qué dónde cuándo cómo él ella su sus no pero porque antes después tras contra hacia cada este esta ese esa estos más tarde lo se trata respuesta yo nos mientras aunque durante",
 }
 STOP_SETS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}

@@ -97,6 +97,9 @@ Q = "Who opened the wooden door before noon?"
         (Q, "I cannot answer this question", ["Ann"], "refusal"), (Q, "I cannot answer this question.", ["unanswerable"], None), (Q, "unanswerable", ["Ann"], "refusal"), (Q, "Lo siento, no lo sé.", ["Ann"], "refusal"),
         (Q, "La mujer del puente abría la puerta con el martillo.", ["Ann"], "other_language"), (Q, "die Frau", ["die Frau"], None), (Q, "农夫昨天打开了门。", ["Ann"], "other_language"),
         (Q, "It was Ann. The farmer opened the doo", ["Ann"], "truncated"), (Q, "The answer is Ann, which", ["Ann"], "truncated"), (Q, "about 12 peo", ["about 12 people"], "truncated"), (Q, "Ann (", ["Ann"], "truncated"),
+        (Q, 'It was Ann. The farmer opened the door "', ["Ann"], "truncated"), (Q, 'He said "yes" and "no"', ["Ann"], None), (Q, "The farmer (who was old opened it.", ["Ann"], "truncated"), (Q, "The farmer (an old man) opened it.", ["Ann"], None), (Q, "Look (here. It was Ann.", ["Ann"], None),
+        (Q, "The baker saw the door which was", ["Ann"], "truncated"), ("Qui dort ?", "La réponse est la gare, parce que", ["la gare"], "truncated"), ("Was suchte Ann so lange?", "The answer is the old lamp.", ["das Tal"], "other_language"),
+        (Q, "申し訳ありませんが、わかりません。", ["Ann"], "refusal"), (Q, "لا أعرف.", ["Ann"], "refusal"), (Q, "मुझे नहीं पता।", ["Ann"], "refusal"), (Q, "ฉันไม่ทราบ", ["Ann"], "refusal"), (Q, "모르겠습니다.", ["Ann"], "refusal"), (Q, "Não sei.", ["Ann"], "refusal"), (Q, "I won’t comment on it.", ["Ann"], "refusal"),
         (Q, "Ann", ["Ann"], None), (Q, "the farmer's wife.", ["Ann"], None), (Q, "It was the baker.", ["Ann"], None), (None, "Ann", None, None),
     ],
 )
@@ -126,6 +129,15 @@ def test_long_words_break_off_too(spark):
     assert {(r.gen_id, r.defect) for r in got} == {(i, "truncated") for i in (1, 4, 5, 6)}
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_a_fragment_is_no_word_at_any_size(spark, n):
+    whole = [(i, "Who opened the door?", "the door", ["the door"]) for i in range(n)]
+    cut_off = [(2000 + i, Q, "old lamp", ["a doo", "a doorway"]) for i in range(n // 150)]  # truths that were themselves cut off grow with the corpus
+    rows = [(1000, Q, "old doo", ["Ann"]), (1001, Q, "old door", ["Ann"]), (1002, Q, "old lamp", ["a lamp"])]
+    df = spark.createDataFrame(whole + cut_off + rows, "gen_id bigint, query string, generated string, truth array<string>")
+    assert {r.gen_id: r.defect for r in pairs.judge_pairs(df).collect()} == {1000: "truncated"}
+
+
 # ---- 4 repetition ------------------------------------------------------------------------------------------
 
 
