@@ -242,6 +242,75 @@ def test_training_learns_abbreviations(spark):
     assert sentences.sentence_units(corpus.limit(0), sentences.train_sentences(corpus.limit(0), t.limit(0))).count() == 0
 
 
+WRITTEN = {
+    "en": ["The farmer opened the door.", "A cat slept on the warm mat.", "The painter watched the valley.", "It rained on the hill."],
+    "zh": ["农夫打开了木门。", "画家看见了小桥。", "村长记录了地图。", "医生收集了样本。"],
+    "th": ["ครูเปิดแผนที่", "ชาวนาเก็บกุญแจทองแดง", "หมอวาดสะพานไม้", "กัปตันซ่อมโคมเก่า"],
+}
+
+
+def unmarked_model():
+    from collections import Counter
+
+    rng, total = random.Random(1), Counter()
+    for said in WRITTEN.values():
+        for _ in range(60):
+            chosen = [rng.choice(said) for _ in range(6)]
+            total.update(sentences.label_counts(" ".join(chosen), chosen))
+    counts = {}
+    for (k, e), n in total.items():
+        counts[k] = tuple(x + n * (i == e) for i, x in enumerate(counts.get(k, (0.0, 0.0))))
+    return sentences.Model(counts)
+
+
+@pytest.mark.parametrize(("lang", "between"), [("en", " "), ("zh", ""), ("th", "")])
+def test_boundaries_between_words_without_marks(lang, between):
+    model = unmarked_model()
+    plain = [s.rstrip(".。") for s in WRITTEN[lang]]
+    for said in (plain, plain[::-1], plain[1:3], plain[:1]):
+        assert cut(between.join(said), model) == said
+    if lang == "en":
+        assert cut(" ".join(plain).lower(), model) == [s.lower() for s in plain]
+        assert cut("The farmer opened the door. " + " ".join(plain[1:]), model)[0] == "The farmer opened the door."
+        assert cut("The farmer", model) == ["The farmer"] and cut("one, two, three", model) == ["one, two, three"]
+
+
+def test_posteriors_between_words_are_exact():
+    """Against the sum over all ways of cutting."""
+    from itertools import product
+
+    from longspan.llm import unmarked
+
+    w = unmarked_model().words
+    text = "the farmer opened the door it rained"
+    toks = unmarked.tokens(text)
+    words = [t[2] for t in toks]
+    bare = 0.5
+    total, gap, whole = 0.0, [0.0] * (len(words) - 1), 0.0
+    for events in product((0, 1), repeat=len(words) - 1):
+        p, run = 1.0, 0
+        for i, e in enumerate(events):
+            h = unmarked.histories(words, i, run == 0)
+            p *= w.chance(unmarked.END, *h) * w.opening(words[i + 1]) * w.hazard[0][run] if e else w.chance(words[i + 1], *h) * w.goes_on[0][run]
+            run = 0 if e else run + 1
+        p *= w.chance(unmarked.END, *unmarked.histories(words, len(words) - 1, run == 0)) * w.hazard[0][run]
+        total += p
+        gap = [g + p * e for g, e in zip(gap, events)]
+    whole = np.prod([w.chance(words[i + 1], *unmarked.histories(words, i, i == 0)) for i in range(len(words) - 1)]) * w.chance(unmarked.END, *unmarked.histories(words, len(words) - 1, False)) * w.reach[0][len(words)]
+    share = bare * total / (bare * total + (1 - bare) * whole)
+    assert w.posteriors(toks, bare) == pytest.approx([share * g / total for g in gap], rel=1e-6)
+
+
+def test_ordinals_and_glued_sentences(spark):
+    ctx = "Es war am 19. Juni. Er kam um 5 p.m.Dann schlief er. Es kostet 19. Danach ging er."
+    said = ["Es war am 19. Juni.", "Er kam um 5 p.m.", "Dann schlief er.", "Es kostet 19.", "Danach ging er."]
+    corpus = spark.createDataFrame([("d", i, ctx) for i in range(30)], "ds_name string, q_index int, context string")
+    t = spark.createDataFrame([("d", i, said) for i in range(30)], "ds_name string, q_index int, target_sentences array<string>")
+    assert cut(ctx, sentences.train_sentences(corpus, t)) == said
+    few = sentences.train_sentences(corpus, t, sample=3)
+    assert max(sum(n) for n in few.counts.values()) < max(sum(n) for n in sentences.train_sentences(corpus, t).counts.values())
+
+
 def test_labels_are_found_again_after_a_loss():
     lost = "x" * 900 + "."
     flat = "Itrained." + lost + "Shecame.Heleft." + lost + "Itsnowed."
