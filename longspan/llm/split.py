@@ -15,7 +15,6 @@ from longspan.llm.encode import TOKENIZERS, Pieces, cut_table, load_ranks, piece
 from longspan.llm.sentences import Model, units
 
 
-
 def clean_bounds(bounds: list[int | None] | None, n_tokens: int | None) -> list[int]:
     """Sorted offsets from 0 to the end; nulls and offsets outside are left out."""
     kept = sorted({b for b in (bounds or []) if b is not None and b >= 0 and (n_tokens is None or b <= n_tokens)})
@@ -53,11 +52,18 @@ def cut_pieces(bounds: list[int], window: int, overlap: int) -> list[tuple[int,
         hard_left = left not in at
 
 
+def oversize(bounds: list[int | None], window: int) -> list[tuple[int, int, int]]:
+    """(left, right, position) of each sentence that alone spans more than the window; its position is that of its left entry, nulls counted."""
+    own = [(b, i) for i, b in enumerate(bounds) if b is not None]
+    return [(a, b, i) for (a, i), (b, _) in zip(own, own[1:], strict=False) if b - a > window]
+
+
 def split_items(alignments: DataFrame, models: DataFrame) -> DataFrame:
     """``(ds_name, q_index, model_name, piece, left, right, hard_left, hard_right, oversize_sentences)`` of each record longer than its model's window.
 
-    ``piece`` counts from 0. ``oversize_sentences`` names the 0-based sentences that alone span more tokens than
-    the window and are cut inside by this piece's record. Records whose keys, model or boundaries are null, without an entry in ``models`` or with no tokens
+    ``piece`` counts from 0. ``oversize_sentences`` names the sentences that alone span more tokens than
+    the window and that this piece holds a part of, by the 0-based position of their first entry in ``sentence_quant_indices`` (a null entry keeps its position and
+    bounds nothing). Records whose keys, model or boundaries are null, without an entry in ``models`` or with no tokens
     have no pieces; repeated records (same key, same boundaries) count once, while records of one key that
     differ in their boundaries each have theirs. Boundaries are taken in order; zero-length sentences and
     one-entry arrays are allowed. Records are split where they lie: one shuffle, on the key, drops repeats;
@@ -77,11 +83,15 @@ def split_items(alignments: DataFrame, models: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for ds, q, model, idx, n, window, overlap in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                own = [x for x in (idx or []) if x is not None]
-                bounds = clean_bounds(own, n)
-                for k, (left, right, hl, hr) in enumerate(cut_pieces(bounds, window, overlap or 0)):
-                    cut = [i for i in range(len(own) - 1) if own[i + 1] - own[i] > window and own[i] < right and left < own[i + 1]]
-                    rows.append((ds, q, model, k, left, right, hl, hr, cut))
+                large = sorted(oversize(idx or [], window))
+                at = 0
+                for k, (left, right, hl, hr) in enumerate(cut_pieces(clean_bounds(idx, n), window, overlap or 0)):
+                    while at < len(large) and large[at][1] <= left:  # both go on in order, so each sentence is met by its own pieces only
+                        at += 1
+                    last = at
+                    while last < len(large) and large[last][0] < right:
+                        last += 1
+                    rows.append((ds, q, model, k, left, right, hl, hr, [i for _, b, i in large[at:last] if left < b]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["ds_name", "q_index", "model_name", "piece", "left", "right", "hard_left", "hard_right", "oversize_sentences"])

@@ -46,6 +46,10 @@ def test_split_items(spark):
     assert {q for q, _ in got} == {1, 3, 7}
     assert sorted(tuple(r) for r in split.oversize_sentences(p).collect()) == [("d", 1, "m", 1), ("d", 7, "m", 0)]
     assert split.split_items(al.limit(0), mo).count() == 0
+    nulls = spark.createDataFrame([("d", 8, "m", [0, None, 4, 5, 30, 31, 60], 60)], al.schema)
+    p = split.split_items(nulls, mo)
+    assert sorted(r.sent_index for r in split.oversize_sentences(p).collect()) == [3, 5]
+    assert all(r.oversize_sentences == [i for i, a, b in ((3, 5, 30), (5, 31, 60)) if a < r.right and r.left < b] for r in p.collect())
 
 
 @needs_vocab
