@@ -19,5 +19,6 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         b = b.master(master)
     for k, v in {**DEFAULTS, **conf}.items():
-        b = b.config(k, v)
+        if v != "":
+            b = b.config(k, v)
     return b.getOrCreate()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: into how many partitions scans for work on whole texts are dealt out. Unset, a scan keeps its splits.
+TEXT_PARTITIONS = "longspan.textPartitions"
+#: Tables that a session has written to the shared folder.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Scan ``{sf_dir}/{name}.parquet``; naming columns prunes the scan."""
@@ -16,34 +19,48 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan whose files give at most a quarter of the cluster's cores something to do is dealt out over all of them.
+    """A scan dealt out over as many partitions as the session's ``longspan.textPartitions`` says; unchanged where it says nothing.
 
-    For stages of much work a row. Only for plain scans (the partitions are counted when the plan is built); a scan of enough splits
-    passes unchanged, so at scale nothing is moved.
+    For stages of much work a row over files of few row groups. The setting is the caller's: no plan changes by the size of its input.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if 4 * scan.rdd.getNumPartitions() <= cores else scan
+    n = scan.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return scan.repartition(int(n)) if n else scan
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir`` of the session; where it is unset, the warehouse of a cluster or a local folder of a local session (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir`` of the session. A local session has its own scratch folder instead; a cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/longspan-shared"
-    local = os.path.join(tempfile.gettempdir(), "longspan-shared")
-    os.makedirs(local, exist_ok=True)
-    return f"file://{local}"
+        raise ValueError("no shared folder: set spark.checkpoint.dir to one that every executor sees")
+    return "file://" + spark.conf.get("spark.local.dir", "/tmp").split(",")[0].rstrip("/") + "/longspan-shared"
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage and fixes the rows: a lost executor costs no recomputation of what lies before, and a
-    result that is used several times is computed once.
+    result that is used several times is computed once. The table goes when the session's process ends, or with ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    keep_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """The file system deletes the folder when the driver's process ends."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all that this session has written to the shared folder, for sessions that run many queries; tells how many tables there were. Results that read them must be kept elsewhere by then."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    return len(paths)
