@@ -32,11 +32,11 @@ def main(argv: list[str] | None = None) -> None:
     from longspan.functions import text
     from longspan.operators import align, grade, lookup, report
     from longspan.plans import pipeline
-    from longspan.session import session
+    from longspan import session as sessions
     from longspan.sources import sinks
     from longspan.sources.tables import table
 
-    spark = session()
+    spark = sessions.session()
     key = ["ds_name", "q_index"]
     if args.command == "count":
         counted = table(spark, args.data, "corpus", *key, "context").where("context is not null").select(*key, F.size(text.tokens("context")).alias("ntokens"))

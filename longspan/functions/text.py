@@ -25,6 +25,11 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
+def word_tokens(text: Column | str) -> Column:
+    """Tokens that join to the whole text: the blanks at its end are one of their own."""
+    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN + r"|[ \t\n\r\f]+$"), F.lit(0))
+
+
 def sentences(text: Column | str) -> Column:
     """Sentences by end marks, trimmed, blank ones left out."""
     found = F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0))

@@ -80,6 +80,25 @@ class _EncodingCounter:
         return len(self.tokenizer.encode(self.text))
 
 
+class _PieceCounter:
+    """Tokens of a text that grows, for vocabularies that split it by a pattern first: further text changes none but the last two pieces, so only they are encoded anew."""
+
+    def __init__(self, encode: Callable[[str], list], pattern: str) -> None:
+        import regex
+
+        self.encode, self.pattern = encode, regex.compile(pattern)
+        self.done, self.tail = 0, ""
+
+    def add(self, more: str) -> int:
+        self.tail += more
+        starts = [m.start() for m in self.pattern.finditer(self.tail)]
+        if len(starts) > 2:
+            cut = starts[-2]
+            self.done += len(self.encode(self.tail[:cut]))
+            self.tail = self.tail[cut:]
+        return self.done + len(self.encode(self.tail))
+
+
 class BytePairTokenizer:
     """A public byte-level vocabulary file."""
 
@@ -91,10 +110,14 @@ class BytePairTokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self._own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._pattern = pattern
 
     def encode(self, text: str) -> list[int]:
         return self._own.encode_ordinary(text)
 
+    def counter(self) -> _PieceCounter:
+        return _PieceCounter(self.encode, self._pattern)
+
     def decode(self, ids: list[int]) -> str:
         return self._own.decode(ids)
 
@@ -181,11 +204,11 @@ FIELDS = {
 }
 
 
-def align_corpus(rows: DataFrame, key: list[str], make_tokenizer: Callable[[], Tokenizer] = WordTokenizer, tolerance: int = TOLERANCE) -> DataFrame:
+def align_corpus(rows: DataFrame, key: list[str], make_tokenizer: Callable[[], Tokenizer] = WordTokenizer, tolerance: int = TOLERANCE, with_tokens: bool = False) -> DataFrame:
     """Alignment record of each row with ``context`` and ``target_sentences``, plus success rate and edit distances.
 
     Null contexts have no tokens; null or empty sentence lists give the one offset 0 and a rate of 0. Narrow:
-    each row is aligned where it lies.
+    each row is aligned where it lies. With ``with_tokens`` the tokens themselves come along, as texts.
     """
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key)
 
@@ -193,10 +216,14 @@ def align_corpus(rows: DataFrame, key: list[str], make_tokenizer: Callable[[], T
         tokenizer = make_tokenizer()
         for b in batches:
             n = len(key)
-            found = [align(c or "", s or [], tokenizer, tolerance) for c, s in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], *[pa.array([x[f] for x in found], t) for f, t in FIELDS.items()]], names=[*key, *FIELDS])
-
-    ddl = f"{kinds}, n_tokens int, sentence_quant_indices array<int>, target_sentences array<string>, sentences array<string>, n_sentence int, n_sentence_quant_success int"
+            texts = b.column(n).to_pylist()
+            found = [align(c or "", s or [], tokenizer, tolerance) for c, s in zip(texts, b.column(n + 1).to_pylist(), strict=True)]
+            cols = [*[b.column(i) for i in range(n)], *[pa.array([x[f] for x in found], t) for f, t in FIELDS.items()]]
+            if with_tokens:
+                cols.append(pa.array([[t if isinstance(t, str) else tokenizer.decode([t]) for t in tokenizer.encode(c or "")] for c in texts], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(cols, names=[*key, *FIELDS, *["tokens"] * with_tokens])
+
+    ddl = f"{kinds}, n_tokens int, sentence_quant_indices array<int>, target_sentences array<string>, sentences array<string>, n_sentence int, n_sentence_quant_success int" + ", tokens array<string>" * with_tokens
     aligned = rows.select(*key, "context", "target_sentences").mapInArrow(run, ddl)
     return with_quality(aligned)
 

@@ -38,11 +38,14 @@ def already_done(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(done.select(*key).distinct(), key, "left_semi")
 
 
-def unique_lookup(rows: DataFrame, table: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Left join of a table that must hold each key once; several values for a key are an error, none give null."""
+def unique_lookup(rows: DataFrame, table: DataFrame, key: list[str], value: str, required: bool = False) -> DataFrame:
+    """Left join of a table that must hold each key once; several values for a key are an error, none give null or, where ``required``, are an error too."""
     n = F.count_distinct(value)
-    one = table.groupBy(*key).agg(F.when(n > 1, F.raise_error(F.concat(F.lit("several values for "), F.concat_ws("/", *[F.col(k).cast("string") for k in key])))).otherwise(F.lit(0)).alias("_n"), F.first(value, ignorenulls=True).alias(value))
-    return rows.join(one.withColumn(value, F.when(F.col("_n") == 0, F.col(value))).drop("_n"), key, "left")
+    named = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+    one = table.groupBy(*key).agg(F.when(n > 1, F.raise_error(F.concat(F.lit("several values for "), named))).otherwise(F.lit(0)).alias("_n"), F.first(value, ignorenulls=True).alias(value))
+    kind = table.schema[value].dataType
+    out = rows.join(one.withColumn(value, F.when(F.col("_n") == 0, F.col(value))).drop("_n"), key, "left")
+    return out.withColumn(value, F.coalesce(value, F.raise_error(F.concat(F.lit(f"no {value} for "), named)).cast(kind))) if required else out
 
 
 def for_each(rows: DataFrame, dimension: DataFrame, name: str) -> DataFrame:

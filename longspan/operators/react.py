@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 MARK = "complete.txt"
 #: Windows whose state a provider keeps, first in first out.
 CACHE_ENTRIES = 10
+BLANKS = " \t\n\r\f"
+#: Tokens at its left end that a window is kept by: windows that begin alike share a state.
+FIRST = 16
 
 
 class Provider(Protocol):
@@ -31,47 +34,46 @@ class Provider(Protocol):
 
 
 class WindowCache:
-    """Bounded cache of window states by key and left end.
+    """Bounded cache of window states by key.
 
-    An exact hit is returned as it is; a state of a longer window from the same left end is cut; a shorter one is
-    extended; otherwise the state is made anew.
+    A state is known by the window that it was made of: the same window returns it as it is; a shorter one that it begins with is cut from it;
+    a longer one that begins with its window is extended; otherwise the state is made anew.
     """
 
     def __init__(self, make: Callable[[list[str]], np.ndarray], extend: Callable[[np.ndarray, list[str]], np.ndarray] | None = None, entries: int = CACHE_ENTRIES) -> None:
         self.make, self.extend, self.entries = make, extend, entries
-        self.kept: OrderedDict[tuple, np.ndarray] = OrderedDict()
+        self.kept: OrderedDict[tuple, tuple[list[str], np.ndarray]] = OrderedDict()
         self.hits = {"exact": 0, "cut": 0, "extended": 0, "made": 0}
 
     def get(self, key: tuple, window: list[str]) -> np.ndarray:
-        state = self.kept.get(key)
+        own, state = self.kept.get(key, ([], None))
         n = len(window)
-        if state is not None and len(state) == n:
+        if state is not None and own == window:
             self.hits["exact"] += 1
             return state
-        if state is not None and len(state) > n:
+        if state is not None and own[:n] == window:
             self.hits["cut"] += 1
             return state[:n]
-        if state is not None and self.extend:
+        if state is not None and self.extend and window[: len(own)] == own:
             self.hits["extended"] += 1
             state = self.extend(state, window)
         else:
             self.hits["made"] += 1
             state = self.make(window)
-        self.kept[key] = state
+        self.kept[key] = (list(window), state)
         self.kept.move_to_end(key)
         while len(self.kept) > self.entries:
             self.kept.popitem(last=False)
         return state
 
-
     def save(self, folder: str) -> None:
         """Writes the kept states; a folder that is already complete is left alone, and the mark comes last."""
         root = Path(folder)
         if (root / MARK).exists():
             return
         root.mkdir(parents=True, exist_ok=True)
-        for i, (key, state) in enumerate(self.kept.items()):
-            np.savez(root / f"{i}.npz", key=np.array(json.dumps(key)), state=state)
+        for i, (key, (window, state)) in enumerate(self.kept.items()):
+            np.savez(root / f"{i}.npz", key=np.array(json.dumps(key)), window=np.array(json.dumps(window)), state=state)
         (root / MARK).touch()
 
     def load(self, folder: str) -> bool:
@@ -81,7 +83,7 @@ class WindowCache:
             return False
         for f in sorted(root.glob("*.npz"), key=lambda f: int(f.stem)):
             with np.load(f) as z:
-                self.kept[tuple(json.loads(str(z["key"])))] = z["state"]
+                self.kept[tuple(json.loads(str(z["key"])))] = (json.loads(str(z["window"])), z["state"])
         return True
 
 
@@ -116,13 +118,31 @@ class LexicalProvider:
     def attend(self, window: list[str], query: list[str]) -> list[float]:
         if not window:
             return []
-        keys = self.cache.get(tuple(window), window)
+        keys = self.cache.get(tuple(window[:FIRST]), window)
         q = self._embed(query or window[-1:]).mean(0)
         s = keys @ q * math.sqrt(self.width)
         e = np.exp(s - s.max())
         return (e / e.sum()).tolist()
 
 
+class OverlapProvider:
+    """Attention of two heads, one even over the window and one twice as strong on the tokens that the question holds, pooled to one value a token; without a question both are even.
+
+    Plain enough to be computed in SQL, which the tests of whole plans need.
+    """
+
+    def __init__(self, how: str = "mean") -> None:
+        self.how = how
+
+    def attend(self, window: list[str], query: list[str]) -> list[float]:
+        if not window:
+            return []
+        asked = {t.strip(BLANKS).lower() for t in query}
+        weight = np.array([2.0 if t.strip(BLANKS).lower() in asked else 1.0 for t in window])
+        heads = np.array([np.full(len(window), 1.0 / len(window)), weight / weight.sum()])
+        return pool(heads[None, :, None, :], self.how).tolist()
+
+
 def pool(attention: np.ndarray, how: str = "mean") -> np.ndarray:
     """Attention ``[batch, head, query, token]`` to one value a token."""
     if how not in ("mean", "sum"):

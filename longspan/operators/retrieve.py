@@ -15,14 +15,22 @@ from longspan.functions.stats import aggregate_score, cosine_distance, normal_cd
 from longspan.sources.tables import materialise
 
 
-def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str = "gmean", per: list[str] | None = None) -> DataFrame:
-    """Joins each span ``[left, right)`` with its key's reaction vector and scores the slice; empty slices score 0.
+def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str = "gmean", per: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Scores each span ``[left, right)`` by its slice of its key's reaction vector; empty slices score 0.
 
-    ``per`` names columns that tell several vectors of a key apart: a span then has one row for each.
+    ``per`` names columns that tell several vectors of a key apart: a span then has one row for each. ``digits`` rounds the scores, so that what differs only by the
+    order of a sum ties. The spans of a key are those of one text: they meet the vector as one row, and the slices are taken inside it, so a vector is
+    never copied to its spans.
     """
-    joined = spans.join(vectors.select(*key, *(per or []), "reaction"), key)
-    part = F.slice("reaction", F.col("left") + 1, F.greatest(F.col("right") - F.col("left"), F.lit(0)))
-    return joined.withColumn("score", aggregate_score(part, how)).drop("reaction")
+    own = [c for c in spans.columns if c not in key]
+    together = spans.groupBy(*key).agg(F.collect_list(F.struct(*own)).alias("_spans"))
+    joined = together.join(vectors.select(*key, *(per or []), "reaction"), key)
+
+    def scored(s: Column) -> Column:
+        score = aggregate_score(F.slice("reaction", s["left"] + 1, F.greatest(s["right"] - s["left"], F.lit(0))), how)
+        return F.struct(*[s[c].alias(c) for c in own], (F.round(score, digits) if digits is not None else score).alias("score"))
+
+    return joined.select(*key, *(per or []), F.inline(F.transform("_spans", scored)))
 
 
 def rank_and_cut(
@@ -92,8 +100,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
 
     The queries stream through the driver ``chunk`` at a time; each chunk is set against all items where they lie, ``block``
     queries at once, each task keeping its own best ``k`` per query, and only those are shuffled. With more
-    chunks than one each pass is written to the shared folder. Vectors that are null, of no length or of another length than the
-    queries' match nothing; repeated queries count once. A query id of the same name as the item's gets ``query_`` before it.
+    chunks than one each pass is written to the shared folder. A query meets the items of its own length; vectors that are null or of no
+    length match nothing; repeated queries count once. A query id of the same name as the item's gets ``query_`` before it.
     """
     kq, ki = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     named = query_id if query_id != item_id else f"query_{query_id}"
@@ -110,27 +118,31 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id
 
 
 def _one_pass(queries: list[tuple[int, list[float]]], items: DataFrame, k: int, block: int) -> DataFrame:
-    width = max(len(v) for _, v in queries)
-    queries = [(i, v) for i, v in queries if len(v) == width]
-    ids, mat = [i for i, _ in queries], np.array([v for _, v in queries], dtype=np.float64)
+    by_length: dict[int, list[tuple[int, list[float]]]] = {}
+    for i, v in queries:
+        by_length.setdefault(len(v), []).append((i, v))
+    asked = {n: ([i for i, _ in own], np.array([v for _, v in own], dtype=np.float64)) for n, own in by_length.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = np.linalg.norm(mat, axis=1)
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        norms = {n: np.linalg.norm(mat, axis=1) for n, (_, mat) in asked.items()}
+        best: dict[int, list[list[tuple[float, int]]]] = {n: [[] for _ in ids] for n, (ids, _) in asked.items()}
         for b in batches:
-            rows = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if v is not None and len(v) == width and any(v)]
-            if not rows:
-                continue
-            x = np.array([v for _, v in rows], dtype=np.float64)
-            xn = np.linalg.norm(x, axis=1)
-            for lo in range(0, len(ids), block):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1 - (mat[lo : lo + block] @ x.T) / (norms[lo : lo + block, None] * xn[None])
-                cut = np.partition(dist, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-                for a, row in enumerate(dist):
-                    near = [(float(row[j]), rows[j][0]) for j in np.flatnonzero(row <= cut[a])]
-                    best[lo + a] = sorted(best[lo + a] + near)[:k]
-        out = [(ids[a], i, d) for a, found in enumerate(best) for d, i in found]
+            given: dict[int, list[tuple[int, list[float]]]] = {}
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if v is not None and len(v) in asked and any(v):
+                    given.setdefault(len(v), []).append((i, v))
+            for n, rows in given.items():
+                ids, mat = asked[n]
+                x = np.array([v for _, v in rows], dtype=np.float64)
+                xn = np.linalg.norm(x, axis=1)
+                for lo in range(0, len(ids), block):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist = 1 - (mat[lo : lo + block] @ x.T) / (norms[n][lo : lo + block, None] * xn[None])
+                    cut = np.partition(dist, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+                    for a, row in enumerate(dist):
+                        near = [(float(row[j]), rows[j][0]) for j in np.flatnonzero(row <= cut[a])]
+                        best[n][lo + a] = sorted(best[n][lo + a] + near)[:k]
+        out = [(asked[n][0][a], i, d) for n, own in best.items() for a, found in enumerate(own) for d, i in found]
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["q", "i", "distance"])
 

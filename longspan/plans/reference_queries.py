@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.functions import stats, text
-from longspan.operators import align, grade, lookup, pack, prompt, report, retrieve
+from longspan.operators import align, grade, lookup, pack, prompt, react, report, retrieve
 from longspan.plans import pipeline
 from longspan.sources.tables import shared_dir, table
 
@@ -364,13 +364,38 @@ def align_fixed_pieces(spark: SparkSession, d: str) -> DataFrame:
     return align.align_corpus(rows, KEY, align.FixedTokenizer).select(*KEY, "n_tokens", "n_sentence", "n_sentence_quant_success", "success_rate")
 
 
+def model_windows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "models", "model_name", "window_tokens", "root_split_offset")
+
+
 def attention_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """All stages from corpus to score with the offline providers, in the root windows of each model and to the answer length of each dataset."""
+    """All stages from corpus to score with the offline providers: sentences aligned with tokens, in the root windows of each model and to the answer length of each dataset."""
     corpus = table(spark, d, "corpus", *KEY, "input", "context", "answers").where("context is not null")
-    out = pipeline.evaluate(corpus, models=table(spark, d, "models", "model_name", "window_tokens", "root_split_offset"), datasets=table(spark, d, "datasets", "ds_name", "max_gen_len"))
+    out = pipeline.evaluate(corpus, models=model_windows(spark, d), datasets=table(spark, d, "datasets", "ds_name", "max_gen_len"), make_tokenizer=align.WordTokenizer)
     return out["graded"].select(*MODEL_KEY, "purely_generated_str", "purely_generated_ntokens", F.round("score", 6).alias("score"))
 
 
+def reacted(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of each context, ranked by how the question changes the attention on them within the root windows of each model."""
+    corpus = table(spark, d, "corpus", *KEY, "input", "context", "answers").where("context is not null")
+    settings = pipeline.Settings(budget=BUDGET, compression_ratio=RATIO, concat_len=CONCAT, score="mean", score_digits=9)
+    return pipeline.retrieved_sentences(corpus, settings, pipeline.Stages(None), react.OverlapProvider, model_windows(spark, d))[2]
+
+
+def off_ties(col: str) -> Column:
+    """Six of the nine digits of a score; what lies just between two values goes up in every engine."""
+    return F.round(F.col(col) + 1e-12, 6).alias(col)
+
+
+def pipeline_roots(spark: SparkSession, d: str) -> DataFrame:
+    return reacted(spark, d).select(*MODEL_KEY, "sent_index", off_ties("score"), "rank", "cum_tokens", "picked")
+
+
+def reaction_teaser(spark: SparkSession, d: str) -> DataFrame:
+    """The one sentence of each context and model that the question moves most."""
+    return reacted(spark, d).where("rank = 0").select(*MODEL_KEY, "sent_index", "sentence", off_ties("score"))
+
+
 def stream_grades(spark: SparkSession, d: str) -> DataFrame:
     """Generations graded as a stream of files, read back from the sink."""
     import uuid
@@ -388,7 +413,7 @@ _NAMES = (
     "token_count_by_dataset token_count_describe token_count_describe_by_dataset sentence_split_stats record_ids sentence_intervals quantize_enclosing quantize_naive root_windows dag_edges dag_nodes offset_checks "
     "reaction_vector reaction_scores reaction_rank_cdf group_gmean retrieve_ratio_budget retrieve_max_budget compression_rate merge_adjacent top_sentence retrieve_by_cosine prompt_fill chat_wrap deferred_requests "
     "normalize_answer qa_f1 qa_f1_multi_truth best_of_generations score_pivot macro_mean_by_class mean_transpose token_bag edit_distance_quality edit_distance_exact evidence_recall alignment_report alignment_pivot metric_melt_pivot "
-    "global_means success_rates elapsed_describe throughput_report token_count_report dataset_classes pending_questions done_questions target_join align_success align_fixed_pieces attention_pipeline stream_grades"
+    "global_means success_rates elapsed_describe throughput_report token_count_report dataset_classes pending_questions done_questions target_join align_success align_fixed_pieces attention_pipeline pipeline_roots reaction_teaser stream_grades"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES.split()}
 
@@ -437,6 +462,19 @@ _SPANS = f"""c AS (SELECT DISTINCT ds_name, q_index, input, context FROM corpus
     rk AS (SELECT *, row_number() OVER (PARTITION BY ds_name, q_index ORDER BY score DESC, sent_index) - 1 AS rank, count(*) OVER (PARTITION BY ds_name, q_index) AS n,
         sum(ntokens) OVER (PARTITION BY ds_name, q_index ORDER BY score DESC, sent_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM sp),
     cut AS (SELECT *, cum < {BUDGET} - {CONCAT} * floor(n / {RATIO}) AND rank < floor(n / {RATIO}) AS picked FROM rk)"""
+_WORDS_OF = "list_transform({0}, lambda t: lower(trim(t, ' ' || chr(9) || chr(10) || chr(12) || chr(13))))"
+_WINDOWS = f"""c AS (SELECT DISTINCT ds_name, q_index, input, context FROM corpus WHERE context IS NOT NULL AND ds_name IS NOT NULL AND q_index IS NOT NULL),
+    x AS (SELECT ds_name, q_index, {_WORDS_OF.format(_TOKENS.format("coalesce(input, '')"))} AS q, {_SENTENCES.format("context")} AS ss FROM c),
+    y AS (SELECT ds_name, q_index, q, unnest(ss) AS sentence, CAST(unnest(range(len(ss))) AS INTEGER) AS sent_index FROM x),
+    z AS (SELECT ds_name, q_index, sent_index, sentence, len({_TOKENS.format("sentence")}) AS ntokens, len(list_filter({_WORDS_OF.format(_TOKENS.format("sentence"))}, lambda w: list_contains(q, w))) AS same FROM y),
+    sp AS (SELECT *, CAST(sum(ntokens) OVER (PARTITION BY ds_name, q_index ORDER BY sent_index) AS INTEGER) AS r FROM z),
+    a AS (SELECT ds_name, q_index, model_name, list_prepend(0, list(r ORDER BY sent_index)) AS s, max(r) AS n FROM sp CROSS JOIN models GROUP BY ds_name, q_index, model_name)"""
+_REACTED = f"""{_ROOTS.replace(_ALIGNED, _WINDOWS)},
+    inside AS (SELECT o.ds_name, o.q_index, o.model_name, o.l AS root, o.r - o.l AS n, sp.sent_index, sp.sentence, sp.ntokens, sp.same, sum(sp.same) OVER (PARTITION BY o.ds_name, o.q_index, o.model_name, o.l) AS m
+        FROM roots o JOIN sp ON sp.ds_name = o.ds_name AND sp.q_index = o.q_index AND sp.r - sp.ntokens >= o.l AND sp.r <= o.r),
+    rs AS (SELECT *, round((same * abs(2.0::DOUBLE / (n + m) - 1.0::DOUBLE / n) + (ntokens - same) * abs(1.0::DOUBLE / (n + m) - 1.0::DOUBLE / n)) / 2 / ntokens, 9) AS score FROM inside),
+    rr AS (SELECT *, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY ds_name, q_index, model_name) AS all_, sum(ntokens) OVER (PARTITION BY ds_name, q_index, model_name ORDER BY score DESC, sent_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM rs WINDOW w AS (PARTITION BY ds_name, q_index, model_name ORDER BY score DESC, sent_index))"""
 _VECTORS = """v AS (SELECT a.vec_id, list_transform(range(1, len(a.embedding) + 1), lambda i: abs(CAST(b.embedding[i] AS DOUBLE) - CAST(a.embedding[i] AS DOUBLE))) AS r
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
 _DESCRIBE = "count({0}) AS count, round(avg({0}), 9) AS mean, round(stddev_samp({0}), 6) AS std, round(min({0})::DOUBLE, 6) AS min, round(quantile_cont({0}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({0}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({0}::DOUBLE, 0.75), 6) AS p75, round(max({0})::DOUBLE, 6) AS max"
@@ -513,5 +551,7 @@ ORACLE_SQL: dict[str, str] = {
     "pending_questions": "SELECT DISTINCT ds_name, q_index FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM alignments a WHERE a.ds_name = c.ds_name AND a.q_index = c.q_index)",
     "done_questions": "SELECT DISTINCT ds_name, q_index FROM corpus c WHERE EXISTS (SELECT 1 FROM alignments a WHERE a.ds_name = c.ds_name AND a.q_index = c.q_index)",
     "target_join": "SELECT DISTINCT c.ds_name, c.q_index, CAST(coalesce(t.n, 0) AS INTEGER) AS n_target FROM corpus c LEFT JOIN (SELECT ds_name, q_index, max(len(target_sentences)) AS n FROM target_sentences WHERE target_sentences IS NOT NULL GROUP BY ALL) t ON c.ds_name = t.ds_name AND c.q_index = t.q_index",
+    "pipeline_roots": f"WITH RECURSIVE {_REACTED} SELECT ds_name, q_index, model_name, sent_index, round(score + 1e-12, 6) AS score, CAST(rank AS INTEGER) AS rank, CAST(cum AS BIGINT) AS cum_tokens, cum < {BUDGET} - {CONCAT} * floor(all_ / {RATIO}) AND rank < floor(all_ / {RATIO}) AS picked FROM rr",
+    "reaction_teaser": f"WITH RECURSIVE {_REACTED} SELECT ds_name, q_index, model_name, sent_index, sentence, round(score + 1e-12, 6) AS score FROM rr WHERE rank = 0",
     "stream_grades": f"WITH {_PAIRS} SELECT gen_id, round(score, 6) AS score FROM s",
 }

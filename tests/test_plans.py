@@ -73,7 +73,7 @@ def test_attention_pipeline_keeps_the_models_apart(spark, small):
     assert got.count() == got.select(*r.MODEL_KEY).distinct().count() == 3 * got.select(*r.KEY).distinct().count() > 0
 
 
-@pytest.mark.parametrize("name", ["qa_f1_multi_truth", "root_windows", "retrieve_ratio_budget", "stream_grades", "attention_pipeline", "align_success"])
+@pytest.mark.parametrize("name", ["qa_f1_multi_truth", "root_windows", "retrieve_ratio_budget", "stream_grades", "attention_pipeline", "align_success", "pipeline_roots", "reaction_teaser"])
 def test_queries_run(spark, small, name):
     import __spark_entry__ as e
 
@@ -107,3 +107,89 @@ def test_stream_matches_batch(spark, small):
     a = {tuple(x) for x in r.stream_grades(spark, small).collect()}
     b = {tuple(x) for x in r.qa_f1_multi_truth(spark, small).select("gen_id", "score").collect()}
     assert a == b
+
+
+EVAL = "ds_name string, q_index int, input string, context string, answers array<string>"
+
+
+def test_pipeline_by_alignment_keeps_tokens_and_sentences_together(spark):
+    from longspan.operators.align import FixedTokenizer, WordTokenizer
+    from longspan.plans.pipeline import Settings, evaluate
+
+    text = "A cat sat.  The dog ran.\nIt rained hard. "
+    df = spark.createDataFrame([("a", 0, "Who ran?", text, ["the dog"]), ("a", 1, "q", None, None), ("a", 2, "q", " ", ["x"])], EVAL)
+    plain = evaluate(df, Settings(budget=50, compression_ratio=1.0))
+    words = evaluate(df, Settings(budget=50, compression_ratio=1.0), make_tokenizer=WordTokenizer)
+    spans = lambda out: [(r.sent_index, r.left, r.right, r.sentence) for r in out["spans"].orderBy("sent_index").collect()]
+    assert [x[:2] + x[3:] for x in spans(plain)] == [x[:2] + x[3:] for x in spans(words)] and spans(words)[-1][2] == 10  # the blanks at the end are a token
+    fixed = evaluate(df, Settings(budget=50, compression_ratio=1.0), make_tokenizer=FixedTokenizer)
+    assert spans(fixed)[-1][2] == len(FixedTokenizer().encode(text)) and {r.q_index for r in fixed["graded"].collect()} == {0}
+    given = spark.createDataFrame([("a", 0, ["A cat sat.", "The dog ran."]), ("z", 9, ["x"])], "ds_name string, q_index int, target_sentences array<string>")
+    assert [x[3] for x in spans(evaluate(df, make_tokenizer=WordTokenizer, targets=given))] == ["A cat sat.", "The dog ran."]
+
+
+def test_pipeline_takes_alignments_and_misses_none(spark):
+    from longspan.operators.align import align_corpus
+    from longspan.plans.pipeline import KEY, evaluate
+
+    df = spark.createDataFrame([("a", 0, "Who ran?", "A cat sat. The dog ran.", ["the dog"]), ("b", 1, "q", "One.", ["x"])], EVAL)
+    made = align_corpus(df.withColumn("target_sentences", F.expr("array('A cat sat.', 'The dog ran.')")).where("q_index = 0"), KEY)
+    out = evaluate(df.where("q_index = 0"), alignments=made)
+    assert [(r.left, r.right) for r in out["spans"].orderBy("sent_index").collect()] == [(0, 3), (3, 6)]
+    with pytest.raises(Exception, match="no alignment for b/1"):
+        evaluate(df, alignments=made)
+    other = made.withColumn("sentence_quant_indices", F.expr("array(0, 6)"))
+    with pytest.raises(Exception, match="several values for a/0"):
+        evaluate(df.where("q_index = 0"), alignments=made.unionByName(other))
+
+
+def test_pipeline_exchanges_its_stages_and_tells_how_far_it_came(spark):
+    from longspan.operators.react import OverlapProvider
+    from longspan.plans.pipeline import Settings, evaluate
+
+    df = spark.createDataFrame([("a", 0, "Who ran?", "A cat sat. The dog ran.", ["the dog"]), ("a", 0, "Who sat?", "B. The dog ran.", ["x"]), ("a", 1, "q", " ", None)], EVAL)
+    evidence = spark.createDataFrame([("a", 0, ["cat", "horse"])], "ds_name string, q_index int, evidence array<string>")
+    first = lambda scored, key, settings: scored.withColumn("picked", F.col("sent_index") == 0)
+    same = lambda rows, g, t: rows.withColumn("score", F.lit(7.0))
+    out = evaluate(df, Settings(query_kind="append_prompt", query_prompt="Say: "), OverlapProvider, retriever=first, grader=same, evidence=evidence)
+    assert [tuple(r) for r in out["questions"].orderBy("q_index").collect()] == [("a", 0, "Who ran?", "A cat sat. The dog ran.", ["the dog"]), ("a", 1, "q", " ", None)]
+    assert [r.cleaned_strlist for r in out["retrieved"].collect()] == [["A cat sat."]] and [r.recall for r in out["evidence"].collect()] == [0.5]
+    assert {r.score for r in out["graded"].collect()} == {7.0} and {(r.q_index, r.status) for r in out["status"].collect()} == {(0, "graded"), (1, "no context")}
+    assert {r.stage: r.status for r in out["stages"].collect()} == dict.fromkeys(["questions", "spans", "cut", "generated"], "done") and all(r.seconds > 0 for r in out["stages"].collect())
+    with pytest.raises(ValueError, match="no query kind"):
+        evaluate(df, Settings(query_kind="other"))
+
+    class Silent:
+        def attend(self, window, query):
+            return [0.0] * len(window)
+
+    with pytest.raises(Exception, match="attention vectors"):
+        evaluate(df, make_provider=Silent)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    import longspan.session
+    from longspan.__main__ import main
+
+    monkeypatch.setattr(longspan.session, "session", lambda *a, **k: spark)
+    data, out = tmp_path / "data", tmp_path / "out"
+    tables = {
+        "corpus": spark.createDataFrame([("a", 0, "Who ran?", "A cat sat. The dog ran.", ["the dog"]), ("a", 1, "q", None, None)], EVAL),
+        "target_sentences": spark.createDataFrame([("a", 0, ["A cat sat.", "The dog ran."])], "ds_name string, q_index int, target_sentences array<string>"),
+        "alignments": spark.createDataFrame([("a", "m", 50.0, 1.0, 2.0), ("a", "m", 100.0, 3.0, None)], "ds_name string, model_name string, success_rate double, mean_dist double, non_zero_mean_dist double"),
+        "models": spark.createDataFrame([("m", 16, 10)], "model_name string, window_tokens int, root_split_offset int"),
+        "datasets": spark.createDataFrame([("a", "single", 8)], "ds_name string, ds_class string, max_gen_len int"),
+        "generations": spark.createDataFrame([(1, "m", "base", "a", 0, "the dog", ["the dog"]), (1, "m", "base", "a", 0, "the dog", ["the dog"])], "gen_id bigint, model_name string, exp_type string, ds_name string, q_index int, generated string, truth array<string>"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{data}/{name}.parquet")
+    for command in ("count", "split", "align", "align-report", "grade"):
+        main([command, "--data", str(data), "--out", str(out)])
+    main(["evaluate", "--data", str(data), "--out", str(out), "--deferred", "--questions", "0", "--q-index", "-2"])
+    read = lambda name: spark.read.option("header", True).csv(f"{out}/{name}.csv").collect()
+    assert [tuple(r) for r in read("mean_tokens")] == [("a", "6")] and [tuple(r) for r in read("alignment_report")] == [("m", "a", "75.0", "2.0", "2.0")]
+    assert [tuple(r)[-2:] for r in read("macro_means")] == [("100.0", "1")]
+    assert [r.target_sentences for r in spark.read.json(f"{out}/target_sentences.json").where("q_index = 0").collect()] == [["A cat sat.", "The dog ran."]]
+    assert {r.q_index: r.success_rate for r in spark.read.parquet(f"{out}/alignments.parquet").collect()} == {0: 100.0, 1: 0.0}
+    asked = spark.read.json(f"{out}/requests.jsonl").collect()
+    assert [(r.q_index, r.model_name, r.truth) for r in asked] == [(0, "m", ["the dog"])] and spark.read.parquet(f"{out}/graded.parquet").count() == 1
