@@ -11,9 +11,9 @@ def array_mean(a: Column) -> Column:
 
 
 def array_gmean(a: Column) -> Column:
-    """exp of the mean logarithm; 0 if any value is 0 (a null logarithm must not drop it)."""
-    logs = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.when(x > 0, F.log(x)).otherwise(F.lit(0.0)))
-    return F.when(F.size(a) == 0, F.lit(None)).when(F.exists(a, lambda x: x <= 0), F.lit(0.0)).otherwise(F.exp(logs / F.size(a)))
+    """exp of the mean logarithm, in one pass; 0 if any value is 0 or less (its logarithm is null, and with it the sum)."""
+    logs = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.log(x))
+    return F.when(F.size(a) > 0, F.coalesce(F.exp(logs / F.size(a)), F.lit(0.0)))
 
 
 def aggregate_score(a: Column, how: str) -> Column:

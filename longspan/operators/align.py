@@ -91,11 +91,10 @@ class _PieceCounter:
 
     def add(self, more: str) -> int:
         self.tail += more
-        starts = [m.start() for m in self.pattern.finditer(self.tail)]
-        if len(starts) > 2:
-            cut = starts[-2]
-            self.done += len(self.encode(self.tail[:cut]))
-            self.tail = self.tail[cut:]
+        pieces = list(self.pattern.finditer(self.tail))
+        if len(pieces) > 2:
+            self.done += sum(len(self.encode(p[0])) for p in pieces[:-2])  # each alone: white space is split by what follows it
+            self.tail = self.tail[pieces[-2].start() :]
         return self.done + len(self.encode(self.tail))
 
 

@@ -11,7 +11,6 @@ import json
 import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from pathlib import Path
 from typing import Protocol
 
@@ -25,6 +24,8 @@ MARK = "complete.txt"
 #: Windows whose state a provider keeps, first in first out.
 CACHE_ENTRIES = 10
 BLANKS = " \t\n\r\f"
+#: Vectors that a provider keeps before it begins anew.
+KNOWN_TOKENS = 100_000
 #: Tokens at its left end that a window is kept by: windows that begin alike share a state.
 FIRST = 16
 
@@ -103,7 +104,8 @@ class LexicalProvider:
 
     def __init__(self, width: int = 32, block: int = 1024) -> None:
         self.width = width
-        self._vector = lru_cache(100_000)(self._hashed)
+        self._row: dict[str, int] = {}
+        self._vectors = np.zeros((1024, width))
         self.cache = WindowCache(in_blocks(self._embed, block), lambda s, w: np.concatenate([s, self._embed(w[len(s) :])]))
 
     def _hashed(self, token: str) -> np.ndarray:
@@ -112,8 +114,21 @@ class LexicalProvider:
             h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
         return np.random.default_rng(h).standard_normal(self.width) / math.sqrt(self.width)
 
+    def _place(self, token: str) -> int:
+        """Row of the token's vector, made at its first use."""
+        row = self._row.get(token)
+        if row is None:
+            row = self._row[token] = len(self._row)
+            if row == len(self._vectors):
+                self._vectors = np.concatenate([self._vectors, np.zeros_like(self._vectors)])
+            self._vectors[row] = self._hashed(token)
+        return row
+
     def _embed(self, window: list[str]) -> np.ndarray:
-        return np.array([self._vector(t) for t in window]).reshape(len(window), self.width)
+        if len(self._row) > KNOWN_TOKENS:
+            self._row.clear()
+        rows = [self._place(t) for t in window]
+        return self._vectors[np.array(rows, np.int64)]
 
     def attend(self, window: list[str], query: list[str]) -> list[float]:
         if not window:

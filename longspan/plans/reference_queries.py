@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from longspan.functions import stats, text
 from longspan.operators import align, grade, lookup, pack, prompt, react, report, retrieve
 from longspan.plans import pipeline
-from longspan.sources.tables import shared_dir, table
+from longspan.sources.tables import keep_until_exit, shared_dir, table
+from longspan.streaming import grade_stream
 
 DATASETS = ["narrativeqa", "qasper", "multifieldqa_en", "hotpotqa", "2wikimqa", "musique", "multifieldqa_zh", "gov_report", "qmsum", "multi_news"]
 KEY = ["ds_name", "q_index"]
@@ -396,24 +397,38 @@ def reaction_teaser(spark: SparkSession, d: str) -> DataFrame:
     return reacted(spark, d).where("rank = 0").select(*MODEL_KEY, "sent_index", "sentence", off_ties("score"))
 
 
-def stream_grades(spark: SparkSession, d: str) -> DataFrame:
-    """Generations graded as a stream of files, read back from the sink."""
+def streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The generations as a stream of files, and a folder for its results and state, which goes with the process."""
     import uuid
 
-    from longspan.streaming.grade_stream import start
-
     schema = spark.read.parquet(f"{d}/generations.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/generations.parquet*")
-    out = f"{shared_dir(spark)}/graded-{uuid.uuid4().hex}"
-    start(grade.grade(stream).select("gen_id", "score"), f"{out}/rows", f"{out}/state").awaitTermination()
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keep_until_exit(spark, out)
+    return spark.readStream.schema(schema).parquet(f"{d}/generations.parquet*"), out
+
+
+def stream_grades(spark: SparkSession, d: str) -> DataFrame:
+    """Generations graded as a stream of files, read back from the sink."""
+    stream, out = streamed(spark, d)
+    grade_stream.start(grade.grade(stream).select("gen_id", "score"), f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.schema("gen_id bigint, score double").parquet(f"{out}/rows").select("gen_id", r6("score")).distinct()
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Mean score by dataset and day of creation over the stream, each generation graded once."""
+    stream, out = streamed(spark, d)
+    once = grade_stream.grade_once(stream.where("created_at is not null"), "365 days", "created_at")
+    grade_stream.run_updates(grade_stream.mean_by_window(once, "1 day", "created_at"), f"{out}/rows", f"{out}/state")
+    rows = spark.read.schema("window struct<start:timestamp,end:timestamp>, ds_name string, score double, n bigint, batch bigint").parquet(f"{out}/rows")
+    last = grade_stream.last_state(rows.select("window.start", "ds_name", "score", "n", "batch"), ["start", "ds_name"])
+    return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "ds_name", off_ties("score"), "n")
+
+
 _NAMES = (
     "token_count_by_dataset token_count_describe token_count_describe_by_dataset sentence_split_stats record_ids sentence_intervals quantize_enclosing quantize_naive root_windows dag_edges dag_nodes offset_checks "
     "reaction_vector reaction_scores reaction_rank_cdf group_gmean retrieve_ratio_budget retrieve_max_budget compression_rate merge_adjacent top_sentence retrieve_by_cosine prompt_fill chat_wrap deferred_requests "
     "normalize_answer qa_f1 qa_f1_multi_truth best_of_generations score_pivot macro_mean_by_class mean_transpose token_bag edit_distance_quality edit_distance_exact evidence_recall alignment_report alignment_pivot metric_melt_pivot "
-    "global_means success_rates elapsed_describe throughput_report token_count_report dataset_classes pending_questions done_questions target_join align_success align_fixed_pieces attention_pipeline pipeline_roots reaction_teaser stream_grades"
+    "global_means success_rates elapsed_describe throughput_report token_count_report dataset_classes pending_questions done_questions target_join align_success align_fixed_pieces attention_pipeline pipeline_roots reaction_teaser stream_grades stream_windows"
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES.split()}
 
@@ -554,4 +569,5 @@ ORACLE_SQL: dict[str, str] = {
     "pipeline_roots": f"WITH RECURSIVE {_REACTED} SELECT ds_name, q_index, model_name, sent_index, round(score + 1e-12, 6) AS score, CAST(rank AS INTEGER) AS rank, CAST(cum AS BIGINT) AS cum_tokens, cum < {BUDGET} - {CONCAT} * floor(all_ / {RATIO}) AND rank < floor(all_ / {RATIO}) AS picked FROM rr",
     "reaction_teaser": f"WITH RECURSIVE {_REACTED} SELECT ds_name, q_index, model_name, sent_index, sentence, round(score + 1e-12, 6) AS score FROM rr WHERE rank = 0",
     "stream_grades": f"WITH {_PAIRS} SELECT gen_id, round(score, 6) AS score FROM s",
+    "stream_windows": f"WITH {_PAIRS}, t AS (SELECT gen_id, any_value(created_at) AS created_at FROM generations WHERE created_at IS NOT NULL GROUP BY gen_id) SELECT strftime(created_at, '%Y-%m-%d') AS day, ds_name, round(avg(score) + 1e-12, 6) AS score, count(*) AS n FROM s JOIN t USING (gen_id) GROUP BY day, ds_name",
 }

@@ -7,21 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longspan.sources.tables import materialise
+
 
 def write_stage(df: DataFrame, folder: str, stage: str, by: list[str] | None = None) -> DataFrame:
-    """Overwrites only the partitions that ``df`` holds, and reads the table back."""
+    """Writes a stage's table and reads it back: with ``by`` only the partitions that ``df`` holds are replaced, without it the whole table is."""
     path = f"{folder}/{stage}.parquet"
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    w = df.write.mode("overwrite")
+    (w.option("partitionOverwriteMode", "dynamic").partitionBy(*by) if by else w).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def upsert(df: DataFrame, folder: str, stage: str, key: list[str]) -> DataFrame:
+    """Rows of ``df`` replace those of the stage's table with their key, and further keys are added; of several rows of one key in ``df`` any stands.
+
+    The merged table is written to the shared folder first, since the old one is read for it, and then takes its place.
+    """
+    new = df.dropDuplicates(key)
+    if not stage_exists(df.sparkSession, folder, stage):
+        return write_stage(new, folder, stage)
+    old = df.sparkSession.read.parquet(f"{folder}/{stage}.parquet")
+    kept = old.join(new.select(*key), [old[k].eqNullSafe(new[k]) for k in key], "left_anti")
+    return write_stage(materialise(kept.unionByName(new, allowMissingColumns=True), "merged"), folder, stage)
+
+
+def stage_exists(spark: SparkSession, folder: str, stage: str) -> bool:
+    """The table was written whole: it holds the success mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{stage}.parquet/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def read_or_compute(spark: SparkSession, folder: str, stage: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """A stage's table if it was written whole (it holds the success mark), else computed and written."""
-    path = f"{folder}/{stage}.parquet"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not force and hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.parquet(path)
+    if not force and stage_exists(spark, folder, stage):
+        return spark.read.parquet(f"{folder}/{stage}.parquet")
     return write_stage(compute(), folder, stage)
 
 

@@ -52,3 +52,26 @@ def test_byte_pair_tokenizer():
 
     tok = BytePairTokenizer(path, r" ?\w+|\s+|[^\s\w]+")
     assert tok.decode(tok.encode("Hi there, you.")) == "Hi there, you."
+
+
+def test_byte_pair_counter_counts_as_the_whole_text_does():
+    import os
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from longspan.operators.align import BytePairTokenizer, _EncodingCounter
+
+    path = os.path.join(os.environ.get("LONGSPAN_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary")
+    tokenizer = BytePairTokenizer(path, r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(alphabet="ab1 .'s\n\té一", max_size=12), max_size=8))
+    def check(parts):
+        own, whole = tokenizer.counter(), _EncodingCounter(tokenizer)
+        for p in parts:
+            assert own.add(p) == whole.add(p)
+
+    check()

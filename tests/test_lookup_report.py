@@ -190,3 +190,59 @@ def test_config(tmp_path):
 def test_run_columns(spark):
     r = readers.with_run(spark.range(1), readers.RunConfig(model_name="m", git_hash="abc")).collect()[0]
     assert (r.model_name, r.seed, r.git_hash) == ("m", 42, "abc") and r.run_at is not None
+
+
+def test_sinks_and_dictionaries(spark, tmp_path):
+    from longspan.sources import readers, sinks
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    sinks.append_csv(df, f"{tmp_path}/r.csv")
+    sinks.append_csv(df, f"{tmp_path}/r.csv")
+    assert sorted(tuple(r) for r in spark.read.schema("k string, v int").csv(f"{tmp_path}/r.csv").collect()) == [("a", 1)] * 2 + [("b", 2)] * 2
+    sinks.write_json(df, f"{tmp_path}/g.json", ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.json(f"{tmp_path}/g.json").collect()) == [("a", 1), ("b", 2)]
+    (tmp_path / "d.json").write_text('{"qasper": 128, "musique": "32"}')
+    assert sorted(tuple(r) for r in readers.read_dictionary(spark, f"{tmp_path}/d.json", "ds_name", "n").collect()) == [("musique", "32"), ("qasper", "128")]
+
+
+def test_upsert_replaces_by_key(spark, tmp_path):
+    from longspan.sources import sinks
+
+    ddl = "k string, i int, v int"
+    sinks.upsert(spark.createDataFrame([("a", 1, 10), ("a", 2, 20), (None, 3, 30)], ddl), str(tmp_path), "t", ["k", "i"])
+    got = sinks.upsert(spark.createDataFrame([("a", 2, 21), ("b", 1, 5), (None, 3, 31)], ddl), str(tmp_path), "t", ["k", "i"])
+    assert sorted((r.k or "", r.i, r.v) for r in got.collect()) == [("", 3, 31), ("a", 1, 10), ("a", 2, 21), ("b", 1, 5)]
+    assert sinks.write_stage(spark.createDataFrame([("z", 1, 1)], ddl), str(tmp_path), "t").count() == 1
+    sinks.write_stage(spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], ddl), str(tmp_path), "p", ["k"])
+    assert sorted(r.v for r in sinks.write_stage(spark.createDataFrame([("b", 1, 9)], ddl), str(tmp_path), "p", ["k"]).collect()) == [1, 9]
+
+
+def test_for_each_and_required_lookup(spark):
+    import pytest
+
+    from longspan.operators import lookup
+
+    rows = spark.createDataFrame([(1,), (2,)], "i int")
+    models = spark.createDataFrame([("m",), ("n",), ("m",), (None,)], "name string")
+    assert sorted((r.i, r.name) for r in lookup.for_each(rows, models, "name").collect()) == [(1, "m"), (1, "n"), (2, "m"), (2, "n")]
+    assert lookup.for_each(rows, models.limit(0), "name").count() == 0
+    table = spark.createDataFrame([(1, [3])], "i int, v array<int>")
+    assert [r.v for r in lookup.unique_lookup(rows.where("i = 1"), table, ["i"], "v", required=True).collect()] == [[3]]
+    assert [r.v for r in lookup.unique_lookup(rows, table, ["i"], "v").orderBy("i").collect()] == [[3], None]
+    with pytest.raises(Exception, match="no v for 2"):
+        lookup.unique_lookup(rows, table, ["i"], "v", required=True).collect()
+
+
+def test_written_steps_can_be_released(spark):
+    from longspan.sources.tables import materialise, release
+
+    release(spark)
+    df = materialise(spark.range(3), "step")
+    assert df.count() == 3 and release(spark) == 1 and release(spark) == 0
+
+
+def test_geometric_mean_in_one_pass(spark):
+    from longspan.functions.stats import array_gmean
+
+    rows = spark.createDataFrame([([1.0, 4.0],), ([0.0, 4.0],), ([-1.0, 4.0],), ([],), (None,)], "a array<double>")
+    assert [r[0] for r in rows.select(array_gmean(F.col("a"))).collect()] == [2.0, 0.0, 0.0, None, None]

@@ -103,3 +103,24 @@ def test_nearest_against_brute_force(spark, chunk):
     for q in (0, 40, 80):
         want = sorted(v, key=lambda i: (dist(v[q], v[i]), i))[:3]
         assert [got[q, k + 1] for k in range(3)] == want
+
+
+def test_nearest_meets_its_own_length(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.1]), (5, None), (6, [])], "vec_id bigint, embedding array<double>")
+    got = {(r.query_vec_id, r["rank"]): r.vec_id for r in retrieve.nearest(df.where("vec_id in (1, 3, 5, 6)"), df, 2, "vec_id", "vec_id", "embedding").collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (3, 1): 3, (3, 2): 4}
+
+
+def test_scores_of_slices_against_brute_force(spark):
+    rng = random.Random(4)
+    spans, vectors, want = [], [], {}
+    for k in ("x", "y"):
+        cuts = sorted({0, 30, *(rng.randint(0, 30) for _ in range(6))})
+        spans += [(k, i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(k, 99, 5, 5)]
+        for m in ("m", "n"):
+            v = [rng.random() for _ in range(30)]
+            vectors.append((k, m, v))
+            want |= {(k, m, i): round(math.exp(sum(map(math.log, v[a:b])) / (b - a)), 6) if b > a else 0.0 for kk, i, a, b in spans if kk == k}
+    s = spark.createDataFrame(spans, "k string, i int, left int, right int")
+    v = spark.createDataFrame(vectors, "k string, m string, reaction array<double>")
+    assert {(r.k, r.m, r.i): r.score for r in retrieve.score_slices(s, v, ["k"], "gmean", ["m"], 6).collect()} == pytest.approx(want)

@@ -73,7 +73,7 @@ def test_attention_pipeline_keeps_the_models_apart(spark, small):
     assert got.count() == got.select(*r.MODEL_KEY).distinct().count() == 3 * got.select(*r.KEY).distinct().count() > 0
 
 
-@pytest.mark.parametrize("name", ["qa_f1_multi_truth", "root_windows", "retrieve_ratio_budget", "stream_grades", "attention_pipeline", "align_success", "pipeline_roots", "reaction_teaser"])
+@pytest.mark.parametrize("name", ["qa_f1_multi_truth", "root_windows", "retrieve_ratio_budget", "stream_grades", "attention_pipeline", "align_success", "pipeline_roots", "reaction_teaser", "stream_windows"])
 def test_queries_run(spark, small, name):
     import __spark_entry__ as e
 
@@ -193,3 +193,12 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert {r.q_index: r.success_rate for r in spark.read.parquet(f"{out}/alignments.parquet").collect()} == {0: 100.0, 1: 0.0}
     asked = spark.read.json(f"{out}/requests.jsonl").collect()
     assert [(r.q_index, r.model_name, r.truth) for r in asked] == [(0, "m", ["the dog"])] and spark.read.parquet(f"{out}/graded.parquet").count() == 1
+
+
+def test_stream_windows_count_each_generation_once(spark, tmp_path):
+    from longspan.plans import reference_queries as r
+
+    rows = [(1, "e", "a", "x y", ["x y"], "2024-01-01 10:00:00"), (1, "e", "a", "x y", ["x y"], "2024-01-01 10:00:00"), (2, "e", "a", "z", ["x"], "2024-01-01 23:00:00"), (3, "e", "b", None, None, "2024-01-02 00:00:00"), (4, None, None, "x", ["x"], None)]
+    df = spark.createDataFrame(rows, "gen_id bigint, exp_name string, ds_name string, generated string, truth array<string>, created_at string")
+    df.withColumn("created_at", F.to_timestamp("created_at")).repartition(3).write.parquet(f"{tmp_path}/generations.parquet")
+    assert sorted(tuple(x) for x in r.stream_windows(spark, str(tmp_path)).collect()) == [("2024-01-01", "a", 0.5, 2), ("2024-01-02", "b", 0.0, 1)]
