@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.stats import gmean
+from longspan.sources.tables import materialise
 
 QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
 
 
-#: How far around a quantile its exact value is sought, and the accuracy of the sketch that brackets it; groups up to SMALL rows are searched whole.
-BRACKET, ACCURACY, SMALL = 0.01, 1_000, 2_000
+#: How far around a quantile its exact value is sought, and the accuracy of the sketch that brackets it; groups up to SMALL rows are searched whole. A bracket is cut into so many PARTS, of which one or two are ranked.
+BRACKET, ACCURACY, SMALL, PARTS = 0.01, 1_000, 2_000, 1_024
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """``by..., metric, count, mean, std, min, p25, p50, p75, max`` of numeric columns; std over n - 1, quartiles linear.
 
-    The quartiles are exact without holding a group's values in one task: a sketch brackets each, what lies below the bracket is only counted, and
-    the few values inside are counted by value and ranked. ``exact=False`` takes the sketch itself.
+    The quartiles are exact without holding a group's values in one task: a sketch brackets each, the rows of the equal parts of a bracket are counted, and only the
+    values of the part (or two) that holds the quartile are counted by value and ranked. The numbers are written once to the shared folder for these
+    passes, so what they come from is computed once. ``exact=False`` takes the sketch itself.
     """
     by = by or []
     keys = [*by, "metric"]
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select(*by, "m.*")
+    if exact:
+        long = materialise(long, "described")
     bounds = [p for _, q in QUARTILES for p in (max(q - BRACKET, 0.0), q, min(q + BRACKET, 1.0))]
     stats = long.groupBy(*keys).agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", bounds, ACCURACY).alias("_b"))
     out = [*keys, "count", "mean", "std", "min"]
@@ -36,15 +40,23 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, exa
         for i, (_, q) in enumerate(QUARTILES)
     ]
     want = stats.select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(F.array(*brackets)).alias("w")).select(*[f"_{k}" for k in keys], "w.*")
-    near = long.join(want, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).where(F.col("v") <= F.col("hi"))
-    counted = near.groupBy(*keys, "i", "pos", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("x")).agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("c", up_to)
-    low, high = F.min(F.when(F.col("c") > F.floor("pos"), F.col("x"))), F.min(F.when(F.col("c") > F.ceil("pos"), F.col("x")))
-    at = ranked.groupBy(*keys, "i", "pos").agg(low.alias("low"), high.alias("high")).withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("pos") - F.floor("pos")))
+    part = F.when(F.col("v") < F.col("lo"), -1).when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+    near = long.join(want, _same(keys)).where(F.col("v") <= F.col("hi")).select(*keys, "i", "pos", "v", part.cast("int").alias("part"))
+    counted = near.groupBy(*keys, "i", "pos", "part").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy(*keys, "i").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("before", up_to - F.col("n"))
+    holds = {name: (F.col("before") <= at("pos")) & (at("pos") < F.col("before") + F.col("n")) for name, at in (("low", F.floor), ("high", F.ceil))}
+    parts = ranked.where(holds["low"] | holds["high"]).select(*[F.col(k).alias(f"_{k}") for k in (*keys, "i", "part")], "before", *[c.alias(f"holds_{name}") for name, c in holds.items()])
+    values = near.join(parts, _same([*keys, "i", "part"])).groupBy(*keys, "i", "pos", "part", "before", "holds_low", "holds_high", "v").agg(F.count("*").alias("n"))
+    c = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "i", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    low, high = (F.min(F.when(F.col(f"holds_{name}") & (F.col("c") > at("pos")), F.col("v"))) for name, at in (("low", F.floor), ("high", F.ceil)))
+    at = values.withColumn("c", c).groupBy(*keys, "i", "pos").agg(low.alias("low"), high.alias("high")).withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("pos") - F.floor("pos")))
     wide = at.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, (name, _) in enumerate(QUARTILES)])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return stats.join(wide, same, "left").select(*out, *[name for name, _ in QUARTILES], "max")
+    return stats.join(wide, _same(keys), "left").select(*out, *[name for name, _ in QUARTILES], "max")
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
 
 
 def mean_by(df: DataFrame, keys: list[str], columns: list[str], digits: int | None = 2) -> DataFrame:
