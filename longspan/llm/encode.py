@@ -69,10 +69,8 @@ def pieces_of(data: bytes, cuts_at: np.ndarray) -> list[bytes]:
 
 
 def text_slices(arr: pa.Array) -> Iterator[bytes | None]:
-    """UTF-8 bytes of each string, or None, straight from the Arrow buffers."""
-    arr = arr.cast(pa.large_binary())
-    for x in arr:
-        yield x.as_py()
+    """UTF-8 bytes of each string, or None, as they lie in the Arrow buffers."""
+    yield from arr.cast(pa.large_binary()).to_pylist()
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:

@@ -30,7 +30,7 @@ FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n\s*\n")
-_MARKUP = re.compile(r"<[/!a-zA-Z][^<>]{0,200}>|&#?\w{1,31};")
+_MARKUP = re.compile(r"<[/!a-zA-Z][^<>\n]*(?:\n(?!\s*\n|>)[^<>\n]*)*>|&#?\w{1,31};")
 _SUBORDINATE = frozenset(
     "because although while whenever until unless since whereas provided irrespective notwithstanding insofar extent that which whose parce tandis lorsque puisque bien quoique mesure dont weil denn obwohl während sofern insofern dass porque aunque mientras siempre medida".split()
 )

@@ -173,6 +173,13 @@ def test_rules_only_reject(text):
         assert repetition.repeats(text, order) == case
 
 
+def test_rules_are_priced_on_what_is_left():
+    texts = ["word"] * 50 + ["one two three four five six"] * 30 + ["na na na na na na"] * 20
+    order = repetition.order_rules(texts)
+    assert sorted(order) == sorted(repetition.RULES) and order[0] == "too_short"  # it rejects half of them without splitting one
+    assert repetition.order_rules([]) and repetition.order_rules([None, ""])
+
+
 def test_repetition_cases(spark):
     rows = [(1, "the cat sat. The CAT sat!"), (2, "one two three four"), (3, None), (4, ""), (5, "1. a b c\n2. a b c"), (6, "测量员打开了地图。测量员打开了地图。"), (None, "a a a a a"), (1, "the cat sat. The CAT sat!"), (7, "na " * 40_000)]
     df = spark.createDataFrame(rows, "gen_id bigint, generated string")
