@@ -69,8 +69,16 @@ def pieces_of(data: bytes, cuts_at: np.ndarray) -> list[bytes]:
 
 
 def text_slices(arr: pa.Array) -> Iterator[bytes | None]:
-    """UTF-8 bytes of each string, or None, as they lie in the Arrow buffers."""
-    yield from arr.cast(pa.large_binary()).to_pylist()
+    """UTF-8 bytes of each string, or None, one after the other from the Arrow buffers."""
+    arr = arr.cast(pa.large_binary())
+    _, offsets, data = arr.buffers()
+    if not len(arr):
+        return
+    at = np.frombuffer(offsets, np.int64, len(arr) + 1, arr.offset * 8).tolist()
+    view = memoryview(data) if data is not None else memoryview(b"")
+    there = arr.is_valid().to_pylist() if arr.null_count else [True] * len(arr)
+    for a, b, known in zip(at, at[1:], there, strict=False):
+        yield view[a:b].tobytes() if known else None
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:

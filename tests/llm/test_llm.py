@@ -354,6 +354,15 @@ def test_encoding_equals_the_tokenizer(text):
     assert got == enc.encode_ordinary(data.decode())
 
 
+@given(st.lists(st.none() | st.text(max_size=5)), st.integers(0, 3))
+def test_slices_of_arrow_strings(texts, cut):
+    import pyarrow as pa
+
+    want = [t.encode("utf-8", "surrogatepass") if t is not None else None for t in texts]
+    arr = pa.array(texts, pa.string())
+    assert list(encode.text_slices(arr)) == want and list(encode.text_slices(arr[cut:])) == want[cut:]
+
+
 @needs_vocab
 def test_encode_texts(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Hello <|endoftext|>", "x"), (4, "a" * 100_000, "x")], "doc_id bigint, text string, ids string")
