@@ -9,7 +9,7 @@ another language.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,6 +27,9 @@ MAX_WORD = 100
 #: A last word is the beginning of others, and no word itself, if it occurs less than once for so many occurrences of the words that it begins.
 RARER = 200
 
+#: Questions and truths of up to so many characters are kept by a task.
+KEEP_CHARS = 1_000
+
 #: Phrases that decline an answer, in lower case without punctuation.
 REFUSALS = """
 unanswerable|not answerable|cannot answer|can not answer|can t answer|could not answer|cannot be answered|can not be answered
@@ -126,6 +129,12 @@ class SuffixAutomaton:
         return out
 
 
+def remember_short(f: Callable[[str], object], most: int) -> Callable[[str], object]:
+    """``f`` with its last results for short texts, so that what a task keeps stays small."""
+    known = lru_cache(most)(f)
+    return lambda text: known(text) if len(text) <= KEEP_CHARS else f(text)
+
+
 def units(text: str) -> list[str]:
     return _UNITS.findall(text.lower())
 
@@ -141,25 +150,30 @@ class Judge:
         for p in sorted(phrases - {""}):
             self.refusals.add_word(p if _UNSPACED.match(p) else f" {p} ", True)
         self.refusals.make_automaton()
-        self.question = lru_cache(4096)(self._question)
+        self.question = remember_short(self._question, 4096)
+        self.phrase = remember_short(self._phrase, 16_384)
 
     @staticmethod
     def _question(query: str) -> tuple[list[str], SuffixAutomaton, str | None]:
         q = units(query)
         return q, SuffixAutomaton(q), self_language(query)
 
+    @staticmethod
+    def _phrase(truth: str) -> str:
+        """The words of a truth between blanks; empty without a word."""
+        return f" {' '.join(u)} " if (u := units(truth)) else ""
+
     def refuses(self, text: str) -> bool:
         flat = " " + " ".join(text.lower().translate(_PUNCT).split()) + " "
         if _UNSPACED.search(flat) and not re.search("[a-z]{3}", flat):
             flat = flat.replace(" ", "")
         return next(self.refusals.iter(flat), None) is not None
 
-    def copied(self, query: str, answer: str) -> bool:
-        """The answer is the question, once or again and again, and nothing but labels beside it."""
+    def copied(self, query: str, a: list[str]) -> bool:
+        """The answer of these words is the question, once or again and again, and nothing but labels beside it."""
         q, sa, _ = self.question(query)
         if len(q) < 2:
-            return bool(q) and units(answer) == q
-        a = units(answer)
+            return bool(q) and a == q
         if len(a) < COPIED * len(q):
             return False
         runs = sa.runs(a)
@@ -181,11 +195,11 @@ class Judge:
         if not _LETTER.search(text):
             return "empty"
         truths = [x for x in (truth or []) if x and _LETTER.search(x)]
-        if query and self.copied(query, text):
-            return "copied_question"
         a = units(text)
+        if query and self.copied(query, a):
+            return "copied_question"
         joined = " " + " ".join(a) + " "
-        whole = [" " + " ".join(u) + " " for t in truths if (u := units(t))]
+        whole = [w for t in truths if (w := self.phrase(t))]
         open_truth = any("unanswerable" in t for t in whole)
         if joined in whole:
             return "truncated" if text.rstrip()[-1:] in "([{（「『" else None
