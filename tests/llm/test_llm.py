@@ -310,6 +310,20 @@ def test_posteriors_between_words_are_exact():
     whole = np.prod([w.chance(words[i + 1], *unmarked.histories(words, i, i == 0)) for i in range(len(words) - 1)]) * w.chance(unmarked.END, *unmarked.histories(words, len(words) - 1, False)) * w.reach[0][len(words)]
     share = bare * total / (bare * total + (1 - bare) * whole)
     assert w.posteriors(toks, bare) == pytest.approx([share * g / total for g in gap], rel=1e-6)
+    for block in (1, 2, 3, 100):
+        assert w.posteriors(toks, bare) == pytest.approx(_with(unmarked, "BLOCK", block, lambda: w.posteriors(toks, bare)))
+    long_ = unmarked.tokens("the farmer opened the door it rained on the hill " * 2_000)
+    got = w.posteriors(long_, bare)
+    assert len(got) == len(long_) - 1 and sum(p > 0.5 for p in got) >= 1_999
+
+
+def _with(module, name, value, f):
+    old = getattr(module, name)
+    setattr(module, name, value)
+    try:
+        return f()
+    finally:
+        setattr(module, name, old)
 
 
 def test_ordinals_and_glued_sentences(spark):
