@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from longspan.functions.text import SENTENCE_PATTERN, TOKEN_PATTERN
 from longspan.operators.report import distances, quality
+from longspan.sources.tables import slices
 
 TOLERANCE = 30
 
@@ -213,7 +214,7 @@ def align_corpus(rows: DataFrame, key: list[str], make_tokenizer: Callable[[], T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = make_tokenizer()
-        for b in batches:
+        for b in slices(batches):
             n = len(key)
             texts = b.column(n).to_pylist()
             found = [align(c or "", s or [], tokenizer, tolerance) for c, s in zip(texts, b.column(n + 1).to_pylist(), strict=True)]

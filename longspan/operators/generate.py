@@ -9,6 +9,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from longspan.sources.tables import slices
+
 _QUESTION = re.compile(r"Question:\s*(.*?)\s*(?:\n|$)")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 
@@ -34,7 +36,7 @@ class ExtractiveGenerator:
 def generate(prompts: DataFrame, key: list[str], make: Callable[[], Generator] = ExtractiveGenerator) -> DataFrame:
     """``key..., generated_str, generated_ntokens, purely_generated_str, purely_generated_ntokens, elapsed_time`` of rows with ``prompt`` and ``max_gen_len``.
 
-    One provider a task, one call a batch; the batch's time is shared by its rows. Null prompts generate nothing.
+    One provider a task, one call for each part of a batch; its time is shared by its rows. Null prompts generate nothing.
     """
     import time
 
@@ -43,7 +45,7 @@ def generate(prompts: DataFrame, key: list[str], make: Callable[[], Generator] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
         n = len(key)
-        for b in batches:
+        for b in slices(batches):
             asked = [p or "" for p in b.column(n).to_pylist()]
             began = time.perf_counter()
             texts = provider.generate(asked, [x or 0 for x in b.column(n + 1).to_pylist()])

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longspan.sources.tables import slices
+
 #: File that tells that a folder of states is complete.
 MARK = "complete.txt"
 #: Windows whose state a provider keeps, first in first out.
@@ -177,7 +179,7 @@ def attend_windows(windows: DataFrame, key: list[str], make_provider: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make_provider()
         n = len(key)
-        for b in batches:
+        for b in slices(batches):
             before, after = [], []
             roots = b.column(n + 2).to_pylist() if packed else [None] * b.num_rows
             for w, q, r in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), roots, strict=True):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting: into how many partitions scans for work on whole texts are dealt out. Unset, a scan keeps its splits.
@@ -64,3 +66,10 @@ def release(spark: SparkSession) -> int:
         own = spark._jvm.org.apache.hadoop.fs.Path(path)
         own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
     return len(paths)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most so many rows, for stages that turn each row into many Python objects; an empty batch passes as it is."""
+    for b in batches:
+        for lo in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(lo, rows)
