@@ -167,6 +167,16 @@ def pool(attention: np.ndarray, how: str = "mean") -> np.ndarray:
     return getattr(attention, how)(axis=(0, 1, 2))
 
 
+def _attend(provider: Provider, window: list[str] | None, query: list[str] | None, roots: list[dict] | None) -> tuple[list[float], list[float]]:
+    """Attention without and with the question; each root by itself, joined in root order."""
+    w = window or []
+    parts = [w] if roots is None else [w[x["left"] : x["right"]] for x in roots]
+    if sum(map(len, parts)) != len(w):
+        raise ValueError("roots do not cover the window")
+    pairs = [(provider.attend(p, []), provider.attend(p, query or [])) for p in parts]
+    return [x for p, _ in pairs for x in p], [x for _, p in pairs for x in p]
+
+
 def attend_windows(windows: DataFrame, key: list[str], make_provider: Callable[[], Provider] = LexicalProvider) -> DataFrame:
     """``key..., before, after``: attention on each token of ``window`` without and with ``query`` (arrays of tokens); null windows count as empty.
 
@@ -180,21 +190,65 @@ def attend_windows(windows: DataFrame, key: list[str], make_provider: Callable[[
         provider = make_provider()
         n = len(key)
         for b in slices(batches):
-            before, after = [], []
             roots = b.column(n + 2).to_pylist() if packed else [None] * b.num_rows
-            for w, q, r in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), roots, strict=True):
-                parts = [w or []] if r is None else [(w or [])[x["left"] : x["right"]] for x in r]
-                if sum(map(len, parts)) != len(w or []):
-                    raise ValueError("roots do not cover the window")
-                pairs = [(provider.attend(p, []), provider.attend(p, q or [])) for p in parts]
-                before.append([x for p, _ in pairs for x in p])
-                after.append([x for _, p in pairs for x in p])
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(before, pa.list_(pa.float64())), pa.array(after, pa.list_(pa.float64()))], names=[*key, "before", "after"])
+            found = [_attend(provider, w, q, r) for w, q, r in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), roots, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], *[pa.array([x[i] for x in found], pa.list_(pa.float64())) for i in (0, 1)]], names=[*key, "before", "after"])
 
     return windows.select(*key, "window", "query", *(["roots"] if packed else [])).mapInArrow(run, f"{kinds}, before array<double>, after array<double>")
 
 
+def slice_scores(reaction: np.ndarray, offsets: list[int], how: str) -> np.ndarray:
+    """Score of each slice between neighbouring offsets, as ``stats.aggregate_score`` gives it: 0 for empty slices and NaN."""
+    if how not in ("gmean", "mean", "max", "min"):
+        raise ValueError(f"no aggregation named {how!r}")
+    at = np.clip(np.array(offsets, np.int64), 0, len(reaction))
+    if (np.diff(at) < 0).any():
+        raise ValueError("offsets fall")
+    sizes = np.diff(at)
+    out = np.zeros(len(sizes))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        values, starts = reaction[: at[-1]], at[full]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if how in ("max", "min"):
+                out[full] = (np.maximum if how == "max" else np.minimum).reduceat(values, starts)
+            elif how == "mean":
+                out[full] = np.add.reduceat(values, starts) / sizes[full]
+            else:
+                out[full] = np.exp(np.add.reduceat(np.log(values), starts) / sizes[full])
+    return np.nan_to_num(out, nan=0.0)
+
+
+def score_windows(windows: DataFrame, key: list[str], make_provider: Callable[[], Provider] = LexicalProvider, how: str = "gmean") -> DataFrame:
+    """``key..., scores``: one score for each sentence of ``sentence_quant_indices``, how the question changes the attention on its tokens.
+
+    ``attend_windows``, ``check_vectors``, the reaction and its slices in one pass: the attention is made in Python, so what goes back is a number for each sentence
+    and not two for each token.
+    """
+    kinds = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in key)
+    packed = "roots" in windows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make_provider()
+        n = len(key)
+        for b in slices(batches):
+            roots = b.column(n + 3).to_pylist() if packed else [None] * b.num_rows
+            scores = []
+            for w, q, o, r in zip(*(b.column(n + i).to_pylist() for i in range(3)), roots, strict=True):
+                before, after = map(np.array, _attend(provider, w, q, r))
+                if len(before) != len(after) or (len(before) and not before.any()):
+                    raise ValueError(BAD_VECTORS)
+                scores.append(slice_scores(np.abs(after - before), o or [0], how))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], pa.array(scores, pa.list_(pa.float64()))], names=[*key, "scores"])
+
+    return windows.select(*key, "window", "query", "sentence_quant_indices", *(["roots"] if packed else [])).mapInArrow(run, f"{kinds}, scores array<double>")
+
+
+#: What is said of vectors that are no attention.
+BAD_VECTORS = "attention vectors differ in length or are zero"
+
+
 def check_vectors(attended: DataFrame) -> DataFrame:
     """Fails on vectors of different length or an all-zero one before the question."""
     bad = (F.size("before") != F.size("after")) | ((F.size("before") > 0) & ~F.exists("before", lambda x: x != 0))
-    return attended.withColumn("before", F.when(bad, F.raise_error(F.lit("attention vectors differ in length or are zero")).cast("array<double>")).otherwise(F.col("before")))
+    return attended.withColumn("before", F.when(bad, F.raise_error(F.lit(BAD_VECTORS)).cast("array<double>")).otherwise(F.col("before")))

@@ -33,6 +33,19 @@ def score_slices(spans: DataFrame, vectors: DataFrame, key: list[str], how: str
     return joined.select(*key, *(per or []), F.inline(F.transform("_spans", scored)))
 
 
+def with_scores(spans: DataFrame, scores: DataFrame, key: list[str], per: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Gives each span of a key the score at its ``sent_index``, a row for each value of ``per``; the spans of a key meet the scores as one row."""
+    own = [c for c in spans.columns if c not in key]
+    together = spans.groupBy(*key).agg(F.collect_list(F.struct(*own)).alias("_spans"))
+    joined = together.join(scores.select(*key, *(per or []), "scores"), key)
+
+    def scored(s: Column) -> Column:
+        score = F.get("scores", s["sent_index"])
+        return F.struct(*[s[c].alias(c) for c in own], (F.round(score, digits) if digits is not None else score).alias("score"))
+
+    return joined.select(*key, *(per or []), F.inline(F.transform("_spans", scored)))
+
+
 def rank_and_cut(
     spans: DataFrame,
     key: list[str],

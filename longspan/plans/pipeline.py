@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.functions.stats import reaction
 from longspan.functions.text import sentences as default_sentences
 from longspan.functions.text import tokens, word_tokens
 from longspan.operators.align import Tokenizer, align_corpus
@@ -21,8 +20,8 @@ from longspan.operators.grade import evidence_recall, grade
 from longspan.operators.lookup import for_each, require_parts, unique_lookup, with_targets
 from longspan.operators.pack import intervals, with_roots
 from longspan.operators.prompt import DEFAULT_TEMPLATE, deferred_requests, fill_by_dataset, query_text
-from longspan.operators.react import LexicalProvider, Provider, attend_windows, check_vectors
-from longspan.operators.retrieve import compression, merge_adjacent, rank_and_cut, score_slices
+from longspan.operators.react import LexicalProvider, Provider, score_windows
+from longspan.operators.retrieve import compression, merge_adjacent, rank_and_cut, with_scores
 from longspan.sources.tables import materialise
 
 KEY = ["ds_name", "q_index"]
@@ -159,9 +158,8 @@ def retrieved_sentences(
         packed = (window_tokens(spans) if windows is None else windows).join(questions.select(*KEY, asked.alias("query")), KEY)
         if models is not None:
             packed = with_roots(for_each(packed, models, "model_name"), models.where("model_name is not null").dropDuplicates(["model_name"]))
-        attended = check_vectors(attend_windows(packed, KEY + run, make_provider))
-        vectors = attended.select(*KEY, *run, reaction(F.col("before"), F.col("after")).alias("reaction"))
-        return retriever(score_slices(spans, vectors, KEY, settings.score, run, settings.score_digits), KEY + run, settings)
+        scores = score_windows(packed, KEY + run, make_provider, settings.score)
+        return retriever(with_scores(spans, scores, KEY, run, settings.score_digits), KEY + run, settings)
 
     return questions, spans, stages.table("cut", cut)
 

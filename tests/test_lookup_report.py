@@ -246,3 +246,20 @@ def test_geometric_mean_in_one_pass(spark):
 
     rows = spark.createDataFrame([([1.0, 4.0],), ([0.0, 4.0],), ([-1.0, 4.0],), ([],), (None,)], "a array<double>")
     assert [r[0] for r in rows.select(array_gmean(F.col("a"))).collect()] == [2.0, 0.0, 0.0, None, None]
+
+
+@pytest.mark.parametrize("how", ["gmean", "mean", "max", "min"])
+def test_scores_in_one_pass_equal_those_of_the_steps(spark, how):
+    from longspan.functions.stats import reaction
+    from longspan.operators.react import OverlapProvider, score_windows
+    from longspan.operators.retrieve import score_slices, with_scores
+
+    words = [f" w{i % 7}" for i in range(30)]
+    rows = [("a", words, [" w1", " w3"], [0, 4, 4, 20, 30], [(0, 20), (20, 30)]), ("b", words[:5], [], [0, 5], [(0, 5)]), ("c", [], None, [0], []), ("d", None, [" w1"], None, None)]
+    windows = spark.createDataFrame(rows, "k string, window array<string>, query array<string>, sentence_quant_indices array<int>, roots array<struct<left:int,right:int>>")
+    spans = spark.createDataFrame([("a", i, x, y) for i, (x, y) in enumerate([(0, 4), (4, 4), (4, 20), (20, 30)])] + [("b", 0, 0, 5)], "k string, sent_index int, left int, right int")
+    attended = check_vectors(attend_windows(windows, ["k"], OverlapProvider))
+    steps = score_slices(spans, attended.select("k", reaction(F.col("before"), F.col("after")).alias("reaction")), ["k"], how)
+    one = with_scores(spans, score_windows(windows, ["k"], OverlapProvider, how), ["k"])
+    want = {(r.k, r.sent_index): r.score for r in steps.collect()}
+    assert {(r.k, r.sent_index): r.score for r in one.collect()} == pytest.approx(want) and len(want) == 5
