@@ -129,7 +129,9 @@ class LexicalProvider:
     def _embed(self, window: list[str]) -> np.ndarray:
         if len(self._row) > KNOWN_TOKENS:
             self._row.clear()
-        rows = [self._place(t) for t in window]
+        rows = list(map(self._row.get, window))
+        if None in rows:
+            rows = [self._place(t) for t in window]
         return self._vectors[np.array(rows, np.int64)]
 
     def attend(self, window: list[str], query: list[str]) -> list[float]:
