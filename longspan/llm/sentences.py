@@ -11,17 +11,20 @@ without any, or a stretch longer than sentences are), the gaps between all words
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.llm.unmarked import BARE_STRETCH, BARE_TEXT, INNER, Words, sentence_counts, tokens, unspaced
+from longspan.llm.unmarked import BARE_STRETCH, BARE_TEXT, INNER, Grams, Words, tokens, unspaced
+from longspan.sources.tables import slices
 
-#: Contexts that the n-grams are counted on at most, those of the lowest hash among the ones that a splitter has cut.
-LABELLED_CONTEXTS = 4_000
+#: Words and kinds of slots that a task holds before it hands their counts on; these are summed by n-gram, so this bounds memory only.
+HELD = 1_000_000
 #: A label of a splitter is first sought within so many characters of the one before, and only then in all that follows (see ``place_labels``).
 LABEL_REACH = 400
 
@@ -138,9 +141,17 @@ def prior(word: str, mark: str, nxt: str) -> float:
 class Model:
     """Counts of events by n-gram and of how an event follows another over a distance."""
 
-    def __init__(self, counts: dict[str, tuple[float, float]] | None = None) -> None:
-        self.counts = {k: n for k, n in (counts or {}).items() if k[0] in "1234t"}
-        self.words = Words({k: n for k, n in (counts or {}).items() if k[0] not in "1234t"})
+    def __init__(self, counts: dict[str, tuple[float, float]] | Iterable[tuple[str, tuple[float, float]]] | None = None) -> None:
+        self.counts: dict[str, tuple[float, float]] = {}
+
+        def others() -> Iterator[tuple[str, float]]:
+            for k, n in counts.items() if isinstance(counts, dict) else counts or ():
+                if k[0] in "1234t":
+                    self.counts[k] = n
+                else:
+                    yield k, n[1]
+
+        self.words = Words(others())
         self._known: dict[tuple[str, str, str], float] = {}
         self._follow = [self.follow(gap) for gap in range(4)]
 
@@ -181,19 +192,19 @@ class Model:
         follow = self._follow
         ahead = [(1 - p[0], p[0])]
         for i in range(1, n):
-            f, a = follow[gap_of(slots[i - 1][0], slots[i][0])], ahead[-1]
-            x = [(1 - p[i], p[i])[b] * (a[0] * f[0][b] + a[1] * f[1][b]) for b in (0, 1)]
-            ahead.append((x[0] / sum(x), x[1] / sum(x)))
+            (none, some), (a, b) = follow[gap_of(slots[i - 1][0], slots[i][0])], ahead[-1]
+            x, y = (1 - p[i]) * (a * none[0] + b * some[0]), p[i] * (a * none[1] + b * some[1])
+            ahead.append((x / (x + y), y / (x + y)))
         back = (1.0, 1.0)
         out = [0.0] * n
         for i in range(n - 1, -1, -1):
-            x = ahead[i][0] * back[0], ahead[i][1] * back[1]
-            out[i] = x[1] / (x[0] + x[1])
+            x, y = ahead[i][0] * back[0], ahead[i][1] * back[1]
+            out[i] = y / (x + y)
             if i:
-                f = follow[gap_of(slots[i - 1][0], slots[i][0])]
-                e = ((1 - p[i]) * back[0], p[i] * back[1])
-                y = [f[a][0] * e[0] + f[a][1] * e[1] for a in (0, 1)]
-                back = (y[0] / sum(y), y[1] / sum(y))
+                none, some = follow[gap_of(slots[i - 1][0], slots[i][0])]
+                a, b = (1 - p[i]) * back[0], p[i] * back[1]
+                x, y = none[0] * a + none[1] * b, some[0] * a + some[1] * b
+                back = (x / (x + y), y / (x + y))
         return out
 
 
@@ -285,7 +296,7 @@ def place_labels(flat: str, labels: list[str]) -> list[tuple[int, int]]:
     def near(s: str, at: int) -> int:
         return flat.find(s, at, at + LABEL_REACH + len(s))
 
-    for s, following in zip(labels, [*labels[1:], ""], strict=True):
+    for s, following in zip(labels, [*labels[1:], ""], strict=False):
         j = near(s, at)
         if j < 0:
             first = j = flat.find(s, at)
@@ -299,64 +310,95 @@ def place_labels(flat: str, labels: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def label_counts(text: str, labels: list[str | None] | None) -> Counter:
-    """Events at the slots of a text as a splitter's sentences tell; sentences that the text doesn't hold are passed over."""
-    found: Counter = Counter()
-    chars = [(i, c) for i, c in enumerate(text) if not c.isspace()]
-    flat = "".join(c for _, c in chars)
-    wanted = ["".join((s or "").split()) for s in labels or []]
-    known = [(chars[a][0], chars[b - 1][0] + 1) for a, b in place_labels(flat, [s for s in wanted if s])]
-    ends = {b for _, b in known}
-    covered = bytearray(len(text) + 1)
-    for a, b in known:
-        covered[a + 1 : b + 1] = b"\1" * (b - a)
-    for a, b, whole in parts(text):
-        if whole:
-            continue
-        last = None
-        for end, word, mark, nxt in candidates(text[a:b]):
-            if not covered[a + end]:
-                last = None
+class Events:
+    """Events at the slots of texts as a splitter's sentences tell; slots and words are held as they stand, and their n-grams named once for each that was met."""
+
+    def __init__(self) -> None:
+        self.slots: Counter = Counter()
+        self.follows: Counter = Counter()
+        self.grams = Grams()
+
+    def __len__(self) -> int:
+        return len(self.slots) + len(self.grams)
+
+    def add(self, text: str, labels: list[str | None] | None) -> None:
+        """Counts one text; sentences that the text doesn't hold are passed over."""
+        runs, blanks = text.split(), [*map(len, _SPACE.findall(text))]
+        flat = "".join(runs)
+        starts = [*accumulate(map(len, runs), initial=0)]  # of each word in the text without blanks
+        shifts = [*accumulate(blanks if text[:1].isspace() else [0, *blanks])]  # blanks before each word
+        wanted = ["".join((s or "").split()) for s in labels or []]
+        known = [(a + shifts[bisect_right(starts, a) - 1], b + shifts[bisect_left(starts, b) - 1]) for a, b in place_labels(flat, [s for s in wanted if s])]
+        ends = {b for _, b in known}
+        covered = bytearray(len(text) + 1)
+        for a, b in known:
+            covered[a + 1 : b + 1] = b"\1" * (b - a)
+        for a, b, whole in parts(text):
+            if whole:
                 continue
-            e = int(a + end in ends)
+            last = None
+            for end, word, mark, nxt in candidates(text[a:b]):
+                if not covered[a + end]:
+                    last = None
+                    continue
+                e = int(a + end in ends)
+                self.slots[word, mark, nxt, e] += 1
+                if last:
+                    self.follows[gap_of(last[0], end), last[1], e] += 1
+                last = (end, e)
+        for a, b in known:
+            said = text[a:b]
+            first = _CAND.search(said)
+            if (said[-1] in MARKS + _CLOSE or _THAI.match(said[-1])) and (not first or first.end() == len(said) or not candidates(said)):
+                self.grams.add(said)
+
+    def counts(self) -> Counter:
+        found: Counter = Counter()
+        for (word, mark, nxt, e), n in self.slots.items():
             for k in keys(word, mark, nxt):
-                found[k, e] += 1
-            if last:
-                found[f"t\t{gap_of(last[0], end)}\t{last[1]}\t{e}", 1] += 1
-            last = (end, e)
-    for a, b in known:
-        said = text[a:b]
-        if (said[-1] in MARKS + _CLOSE or _THAI.match(said[-1])) and not candidates(said):
-            sentence_counts(said, found)
-    return found
-
-
-def train_sentences(corpus: DataFrame, target_sentences: DataFrame, sample: int = LABELLED_CONTEXTS) -> Model:
-    """Counts of all n-grams over at most ``sample`` contexts for which a splitter's sentences exist, those of the lowest hash of their key.
-
-    The sample bounds the model and what is shuffled for it, whatever the size of the corpus: its keys are broadcast, and only its texts meet their labels.
-    Counting runs in the executors and is summed by n-gram before anything reaches the driver.
+                found[k, e] += n
+        for (gap, a, b), n in self.follows.items():
+            found[f"t\t{gap}\t{a}\t{b}", 1] += n
+        self.grams.into(found)
+        return found
+
+
+def label_counts(text: str, labels: list[str | None] | None) -> Counter:
+    """Events of one text."""
+    events = Events()
+    events.add(text, labels)
+    return events.counts()
+
+
+def train_sentences(corpus: DataFrame, target_sentences: DataFrame, sample: int | None = None) -> Model:
+    """Counts of all n-grams over all contexts for which a splitter's sentences exist; with ``sample`` over so many of them, those of the lowest hash of their key.
+
+    Texts and labels are dealt out by their key once, and repeated rows go where they meet. Counting runs in the executors and is summed by n-gram before
+    anything reaches the driver: the model grows with the n-grams that differ, not with the texts.
     """
     key = ["ds_name", "q_index"]
     labels = target_sentences.select(*key, "target_sentences").where("target_sentences is not null and ds_name is not null and q_index is not null")
-    chosen = F.broadcast(labels.select(*key).distinct().orderBy(F.xxhash64(*key), *key).limit(sample))  # at most `sample` keys
-    texts = corpus.select(*key, "context").where("context is not null").join(chosen, key, "left_semi").distinct()
-    rows = texts.join(labels.join(chosen, key, "left_semi").distinct(), key).select("context", "target_sentences")
-    rows = rows.repartition(corpus.sparkSession.sparkContext.defaultParallelism)
+    texts = corpus.select(*key, "context").where("context is not null and ds_name is not null and q_index is not null")
+    if sample is not None:
+        chosen = F.broadcast(labels.select(*key).distinct().orderBy(F.xxhash64(*key), *key).limit(sample))
+        labels, texts = labels.join(chosen, key, "left_semi"), texts.join(chosen, key, "left_semi")
+    n = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.repartition(n, *key).distinct().join(labels.repartition(n, *key).distinct().hint("merge"), key).select("context", "target_sentences")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in batches:
+        events = Events()
+        for b in slices(batches):
             for text, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.update(label_counts(text, s))
-            if len(total) > 200_000:
-                yield counts_batch(total)
-                total = Counter()
-        if total:
-            yield counts_batch(total)
+                events.add(text, s)
+                if len(events) > HELD:
+                    yield counts_batch(events.counts())
+                    events = Events()
+        if len(events):
+            yield counts_batch(events.counts())
 
     counted = rows.mapInArrow(run, "k string, e int, n bigint").groupBy("k").agg(F.sum(F.when(F.col("e") == 0, F.col("n")).otherwise(0)).alias("no"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("yes"))
-    return Model({r.k: (float(r.no), float(r.yes)) for r in counted.collect()})
+    batches = counted.toArrow().to_batches(10_000)
+    return Model((k, (float(no), float(yes))) for b in batches for k, no, yes in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
 
 def counts_batch(total: Counter) -> pa.RecordBatch:

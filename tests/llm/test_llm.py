@@ -1,13 +1,15 @@
 import json
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from longspan.llm import budget, encode, leaks, pairs, reading, repetition, sentences, split
+from longspan.llm import budget, encode, leaks, pairs, reading, repetition, sentences, split, unmarked
 from longspan.llm.trees import BoostedTrees
 
 VOCAB = os.path.join(encode.TOKENIZERS, "byte_bpe_50k.tiktoken")
@@ -336,6 +338,57 @@ def test_ordinals_and_glued_sentences(spark):
     assert max(sum(n) for n in few.counts.values()) < max(sum(n) for n in sentences.train_sentences(corpus, t).counts.values())
 
 
+def test_every_labelled_context_counts(spark):
+    n, said = 4_200, ["It rained.", "Then she left."]
+    corpus = spark.range(n).selectExpr("'d' as ds_name", "cast(id as int) as q_index", "'It rained. Then she left.' as context")
+    t = corpus.select("ds_name", "q_index", F.array(*map(F.lit, said)).alias("target_sentences"))
+    m = sentences.train_sentences(corpus.union(corpus.limit(9)), t.union(t.limit(9)))  # repeated rows count once
+    once = sentences.label_counts(" ".join(said), said)
+    assert m.counts == {k: (n * once[k, 0], n * once[k, 1]) for k, _ in once if k[0] in "1234t"}
+    assert m.words.sentences == 2 * n and m.words.words == 5 * n
+
+
+def _sentence_counts(sentence, found):
+    """The n-grams word by word, as they are defined."""
+    toks = unmarked.tokens(sentence)
+    words = [t[2] for t in toks]
+    for i, w in enumerate(words):
+        following = words[i + 1] if i + 1 < len(words) else unmarked.END
+        for h in {*unmarked.histories(words, i, i == 0)}:
+            found[f"u\t{h}", 1] += 1
+            found[f"b\t{h}\t{following}", 1] += 1
+        found[f"c\t{int(i == 0)}\t{int(toks[i][3])}", 1] += 1
+    if words:
+        found[f"s\t{words[0]}", 1] += 1
+        found[f"l\t{int(unmarked.unspaced(words[0]))}\t{min(len(words), unmarked.RUN)}", 1] += 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBİ 1.,一二ก้ข\x02\x03", max_size=30), max_size=5))
+def test_grams_equal_word_by_word(said):
+    grams, got, want = unmarked.Grams(), Counter(), Counter()
+    for s in said:
+        grams.add(s)
+        _sentence_counts(s, want)
+    grams.into(got)
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB .\n\t\u3000", max_size=12), max_size=5), st.text(alphabet=" \n\u3000", max_size=3), st.text(alphabet=" \n", max_size=2))
+def test_labels_cover_what_they_say(said, before, after):
+    text = before + " \n ".join(said) + after
+    where = [i for i, c in enumerate(text) if not c.isspace()]
+    placed = sentences.place_labels("".join(text.split()), [x for s in said if (x := "".join(s.split()))])
+    want = Counter()
+    for a, b in placed:
+        part = text[where[a] : where[b - 1] + 1]
+        if part[-1] in sentences.MARKS and not sentences.candidates(part):
+            _sentence_counts(part, want)
+    got = sentences.label_counts(text, said)
+    assert {k: n for k, n in got.items() if k[0][0] not in "1234t"} == want
+
+
 def test_labels_are_found_again_after_a_loss():
     lost = "x" * 900 + "."
     flat = "Itrained." + lost + "Shecame.Heleft." + lost + "Itsnowed."
